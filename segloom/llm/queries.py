@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segloom.llm import language, lines, mixing, neardup, packing, sharding
-from segloom.llm.tables import table
+from segloom.llm import fingerprint, language, lines, mixing, neardup, packing, sharding, toxicity
+from segloom.llm.tables import settle, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,10 +21,22 @@ def op2_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.near_classes(settle(fingerprint.compared_with_next(table(spark, sf_dir, "documents"))))
+
+
 def op4_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = language.in_fold(F.col("doc_id"), 3, 1)
+    labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", F.col("toxic").alias("label"))
+    scored = toxicity.score(docs, toxicity.train(docs, labels))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -41,5 +53,5 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"), F.col("mix_copies").alias("copies"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_minmax_near_dedup, op4_fuzzy_line_dedup, op6_best_fit_packing, op8_sharding, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_minmax_near_dedup, op3_simhash_fingerprints, op4_fuzzy_line_dedup, op5_toxicity, op6_best_fit_packing, op8_sharding, op9_mixing)}
 ORACLES: dict[str, str] = {}
