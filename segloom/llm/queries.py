@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segloom.llm import fingerprint, language, lines, mixing, neardup, packing, sharding, toxicity
+from segloom.llm import fingerprint, language, lines, lm, mixing, neardup, packing, sharding, toxicity
 from segloom.llm.tables import settle, table
 
 
@@ -41,6 +41,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), language.in_fold(F.col("doc_id"), 10, 0))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 24).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
@@ -53,5 +57,5 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"), F.col("mix_copies").alias("copies"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_minmax_near_dedup, op3_simhash_fingerprints, op4_fuzzy_line_dedup, op5_toxicity, op6_best_fit_packing, op8_sharding, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_minmax_near_dedup, op3_simhash_fingerprints, op4_fuzzy_line_dedup, op5_toxicity, op6_best_fit_packing, op7_ppm_scoring, op8_sharding, op9_mixing)}
 ORACLES: dict[str, str] = {}

@@ -2,8 +2,8 @@
 
 Training texts that name a group are given once more with the term swapped for another of its kind, and the squared
 difference between both scores is added to the loss, so that naming a group cannot move a score by itself. Features
-are words and their beginnings present in a text (punctuation off, lower case); those that tell the classes apart
-are kept.
+are words and their beginnings present in a text (punctuation off, lower case); those far more frequent in toxic texts
+are kept, with weights that aren't negative.
 
 The fit takes at most SAMPLE labelled texts, those of the smallest hashes of doc_id; scoring takes whole texts.
 
@@ -27,9 +27,9 @@ from segloom.llm.lines import normal_bytes
 from segloom.llm.tables import map_arrow
 from segloom.llm.words import chunks, mix, span_hashes, spans
 
-SAMPLE, FEATURES, LEAST_TEXTS, LEAST_Z = 20000, 4096, 5, 5.0
+SAMPLE, FEATURES, LEAST_TEXTS, LEAST_Z = 20000, 4096, 5, 6.0
 PREFIX = 5
-PENALTY, SHRINKAGE, STEPS, RATE = 4.0, 1e-3, 400, 0.5
+PENALTY, SHRINKAGE, STEPS, RATE = 4.0, 1e-4, 800, 0.5
 # Identity terms by kind and language; a term is swapped for the next of its kind.
 KINDS = (
     "women men girls boys", "woman man girl boy", "muslims christians jews hindus buddhists atheists", "muslim christian jewish hindu buddhist atheist", "black white asian latino arab african",
@@ -100,7 +100,7 @@ def fit(labels: np.ndarray, present: list[np.ndarray], swapped: list[np.ndarray
     share = texts / n
     z = (with_one / ones - (texts - with_one) / (n - ones)) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / ones + 1 / (n - ones)))
     terms = _terms([" ".join(SWAP)])[1]
-    score = np.where((texts >= LEAST_TEXTS) & (np.abs(z) >= LEAST_Z), np.abs(z), 0)
+    score = np.where((texts >= LEAST_TEXTS) & (z >= LEAST_Z), z, 0)
     score[np.isin(words, terms)] = np.inf
     kept = np.sort(np.argsort(-score, kind="stable")[: min(FEATURES, int((score > 0).sum()))])
     hashes = words[kept]
@@ -130,7 +130,7 @@ def fit(labels: np.ndarray, present: list[np.ndarray], swapped: list[np.ndarray
             g += 2 * PENALTY * np.bincount(dc, weights=dv * (weight * gap)[dr], minlength=len(kept))
         seen += g * g
         seen_bias += off.sum() ** 2
-        w -= RATE * g / np.sqrt(seen)
+        w = np.maximum(w - RATE * g / np.sqrt(seen), 0.0)  # benign words can't hide others
         bias -= RATE * off.sum() / np.sqrt(seen_bias)
     return Model(hashes, w, float(bias))
 
