@@ -112,8 +112,9 @@ def prototypes(training: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 def identify(docs: DataFrame, languages: list[str], profiles: np.ndarray) -> DataFrame:
-    """docs with lang_pred and score beside their columns (which must not have these names)."""
+    """docs with lang_pred and score beside their columns; columns of docs with these names go."""
     known = profiles.astype(np.float32)
+    docs = docs.drop("lang_pred", "score")
 
     def predicted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from segloom.llm.linking import components, linked
 from segloom.llm.simhash import block_keys, signs, votes, word_terms
-from segloom.llm.tables import map_arrow, settle
+from segloom.llm.tables import aside, map_arrow, restored, settle
 from segloom.llm.words import _powers, chunks, mix, span_hashes, spans
 
 MIN_WORDS, EDIT_PERCENT = 5, 90
@@ -111,6 +111,8 @@ def _similar(x: Column, y: Column) -> Column:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with the repeated lines gone from text, and lines_all, lines_dropped and emptied beside their columns."""
+    columns = docs.columns
+    docs, names = aside(docs, ("doc_id", "text", "n_chars"))
     base = docs.withColumn("lines_tid", F.xxhash64("text"))
     texts = base.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lines_tid").alias("tid"), "text")
     rows = settle(map_arrow(texts, _line_rows, "doc_id long, tid long, pos int, h long, length int, print long"))
@@ -143,15 +145,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     out = base.join(gone, (F.col("doc_id").cast("long").eqNullSafe(F.col("lines_doc"))) & (F.col("lines_tid") == F.col("lines_of")), "left")
     left = F.when(F.col("lines_gone").isNull(), F.col("text")).otherwise(F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> not array_contains(lines_gone, i)), '\\n')"))
     out = out.withColumn("lines_text", left)
-    shown = []
-    for c in docs.columns:
-        if c == "text":
-            shown.append(F.col("lines_text").alias("text"))
-        elif c == "n_chars":
-            shown.append(F.length("lines_text").cast(docs.schema["n_chars"].dataType).alias("n_chars"))
-        else:
-            shown.append(F.col(f"`{c}`"))
-    dropped = F.coalesce(F.size("lines_gone"), F.lit(0))
-    dropped = F.when(F.col("lines_gone").isNull(), F.lit(0)).otherwise(dropped)
+    dropped = F.when(F.col("lines_gone").isNull(), F.lit(0)).otherwise(F.size("lines_gone"))
     emptied = (dropped > 0) & ~F.col("lines_text").rlike(r"\S")
-    return out.select(*shown, F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).alias("lines_all"), dropped.alias("lines_dropped"), emptied.alias("emptied"))
+    out = out.withColumns({"lines_all": F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)), "lines_dropped": dropped, "emptied": emptied})
+    out = out.withColumn("text", F.col("lines_text"))
+    if "n_chars" in columns:
+        out = out.withColumn("n_chars", F.length("lines_text").cast(docs.schema["n_chars"].dataType))
+    return restored(out, columns, names, "lines_all", "lines_dropped", "emptied")

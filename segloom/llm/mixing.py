@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from segloom.llm.tables import settle
+from segloom.llm.tables import aside, restored, settle
 
 #: What the sources weigh, in order and repeating; their share of all sizes; the most copies of a document.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
@@ -95,7 +95,9 @@ def _close(cells: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """docs with copies, size, source_size and target beside their columns (under the prefix mix_)."""
+    """docs with mix_size, mix_source_size, mix_target and mix_copies beside their columns."""
+    columns = docs.columns
+    docs, names = aside(docs, ("doc_id", "text", "source"))
     base = docs.withColumns(
         {
             "mix_size": words_in(F.col("text")),
@@ -131,16 +133,18 @@ def mix(docs: DataFrame) -> DataFrame:
     final = final.select(F.col("skey").alias("mix_key"), F.col("size").alias("mix_size"), F.col("salt").alias("mix_salt"), F.col("n").alias("mix_n"), F.col("copies").alias("mix_all"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
     hot = hot.select(F.col("skey").alias("mix_key"), F.col("size").alias("mix_size"), F.col("parts").alias("mix_parts"))
     within = Window.partitionBy("mix_key", "mix_size", "mix_salt").orderBy("mix_hash", "doc_id")
-    return (
+    out = (
         base.join(F.broadcast(hot), ["mix_key", "mix_size"], "left")
         .withColumn("mix_salt", F.pmod(F.pmod("mix_hash", F.lit(1024)), F.coalesce("mix_parts", F.lit(1))).cast("int"))
         .withColumn("mix_rank", F.row_number().over(within))
         .join(final, ["mix_key", "mix_size", "mix_salt"])
         .withColumn("mix_copies", F.expr("cast(mix_all div mix_n + if(mix_rank <= mix_all % mix_n, 1, 0) as int)"))
-        .select(*[F.col(f"`{c}`") for c in docs.columns], "mix_size", "mix_source_size", "mix_target", "mix_copies")
     )
+    return restored(out, columns, names, "mix_size", "mix_source_size", "mix_target", "mix_copies")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """docs with every row as often as the mix takes it, and their columns only."""
-    return mix(docs).where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), "mix_copies"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns = docs.columns
+    docs, names = aside(docs, ("doc_id", "text", "source"))
+    return restored(mix(docs).where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), "mix_copies"))), columns, names)

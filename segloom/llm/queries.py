@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segloom.llm import fingerprint, language, lines, lm, mixing, neardup, packing, sharding, toxicity
+from segloom.llm import fingerprint, graph, language, lines, lm, mixing, neardup, packing, sharding, toxicity
 from segloom.llm.tables import settle, table
 
 
@@ -57,5 +57,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"), F.col("mix_copies").alias("copies"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_minmax_near_dedup, op3_simhash_fingerprints, op4_fuzzy_line_dedup, op5_toxicity, op6_best_fit_packing, op7_ppm_scoring, op8_sharding, op9_mixing)}
+def op10_robust_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_minmax_near_dedup, op3_simhash_fingerprints, op4_fuzzy_line_dedup, op5_toxicity, op6_best_fit_packing, op7_ppm_scoring, op8_sharding, op9_mixing, op10_robust_graph_search)}
 ORACLES: dict[str, str] = {}

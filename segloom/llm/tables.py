@@ -45,3 +45,16 @@ def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     """mapInArrow, with this package on the workers' path."""
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)
+
+
+def aside(df: DataFrame, own: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """df with every column but those of own under a neutral name, and the original names: no name can clash then."""
+    names = {f"aside_{i}": c for i, c in enumerate(df.columns) if c not in own}
+    back = {c: a for a, c in names.items()}
+    return df.toDF(*[back.get(c, c) for c in df.columns]), names
+
+
+def restored(df: DataFrame, columns: list[str], names: dict[str, str], *more: str) -> DataFrame:
+    """The columns under their original names, and more of df's own."""
+    back = {c: a for a, c in names.items()}
+    return df.select(*[df[back.get(c, c)].alias(c) for c in columns], *more)

@@ -155,7 +155,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score beside their columns."""
+    """docs with score beside their columns; a column of docs with this name goes."""
+    docs = docs.drop("score")
 
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
