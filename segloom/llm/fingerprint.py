@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segloom.llm.linking import components, linked
+from segloom.llm.linking import components, forest, linked
 from segloom.llm.simhash import block_keys, signs, votes, word_terms
 from segloom.llm.tables import map_arrow, settle
 from segloom.llm.words import chunks, mix, span_hashes, spans
@@ -152,12 +152,26 @@ def _all():
 
 def _key_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        words = np.array([[int(x[i : i + 16], 16) for i in range(0, BITS // 4, 16)] for x in batch.column(1).to_pylist()], np.uint64).reshape(-1, BITS // 64)
-        keys = block_keys(words, BLOCKS, BLOCK_BITS, BLOCKS - RADIUS)
+        keys = block_keys(_words(batch.column(1).to_pylist()), BLOCKS, BLOCK_BITS, BLOCKS - RADIUS)
         nodes = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), keys.shape[1])
         yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(nodes)], names=["key", "node"])
 
 
+def _links(group: pa.Table) -> list[tuple[int, int]]:
+    words = _words(group.column("fingerprint").to_pylist())
+
+    def near(y: int) -> np.ndarray:
+        within = np.bitwise_count(words ^ words[y]).sum(axis=1) <= RADIUS
+        within[y] = False
+        return np.flatnonzero(within)
+
+    return forest(len(words), near, lambda y, others: np.ones(len(others), bool))
+
+
+def _words(prints: list[str]) -> np.ndarray:
+    return np.array([[int(x[i : i + 16], 16) for i in range(0, BITS // 4, 16)] for x in prints], np.uint64).reshape(-1, BITS // 64)
+
+
 def near_classes(prints: DataFrame) -> DataFrame:
     """prints (doc_id, fingerprint, more) with near_class: the smallest doc_id that links within RADIUS bits reach.
 
@@ -165,13 +179,6 @@ def near_classes(prints: DataFrame) -> DataFrame:
     """
     equal = settle(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("node")).where("node is not null"))
     rows = map_arrow(equal.select("node", "fingerprint"), _key_rows, "key long, node long")
-    halves = [F.conv(F.substring("fingerprint", 8 * i + 1, 8), 16, 10).cast("long").alias(f"f{i}") for i in range(BITS // 32)]
-    attributes = equal.select("node", *halves)
-
-    def within(x, y):
-        return sum((F.bit_count(x[f"f{i}"].bitwiseXOR(y[f"f{i}"])) for i in range(BITS // 32)), F.lit(0)) <= RADIUS
-
-    # The test of the bits is the whole verification, so every pair that passes is a link.
-    groups = components(linked(rows, attributes, within, within, lambda pairs: pairs))
+    groups = components(linked(rows, lambda nodes: equal.join(nodes, "node", "left_semi"), _links))
     near = equal.join(groups, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("near_class"))
     return prints.join(near, "fingerprint", "left").select(*prints.columns, F.coalesce("near_class", "doc_id").alias("near_class"))

@@ -19,17 +19,16 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segloom.llm.linking import components, linked
+from segloom.llm.linking import components, forest, linked
 from segloom.llm.simhash import block_keys, signs, votes, word_terms
 from segloom.llm.tables import aside, map_arrow, restored, settle
 from segloom.llm.words import _powers, chunks, mix, span_hashes, spans
 
 MIN_WORDS, EDIT_PERCENT = 5, 90
 BLOCKS, BLOCK_BITS, INTACT = 4, 16, 2
-SURE_BITS = 6
 _ASCII = bytes(32 if c < 33 and c != 10 or 33 <= c < 48 or 58 <= c < 65 or 91 <= c < 97 or 123 <= c < 128 else 48 if 48 <= c < 58 else c for c in range(256))
 
 
@@ -105,8 +104,54 @@ def _key_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(nodes)], names=["key", "node"])
 
 
-def _similar(x: Column, y: Column) -> Column:
-    return F.least(x, y) * 100 >= F.greatest(x, y) * EDIT_PERCENT
+def within(a: str, b: str, most: int) -> bool:
+    """Whether the edit distance is most at most, by bit vectors: one step for each character of b."""
+    if len(a) < len(b):
+        a, b = b, a
+    if not b:
+        return len(a) <= most
+    peq: dict[str, int] = {}
+    for i, c in enumerate(a):
+        peq[c] = peq.get(c, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    plus, minus, distance = full, 0, len(a)
+    for left, c in zip(range(len(b) - 1, -1, -1), b, strict=True):
+        match = peq.get(c, 0)
+        diagonal = (((match & plus) + plus) ^ plus) | match | minus
+        up = minus | ~(diagonal | plus) & full
+        down = diagonal & plus
+        if up & top:
+            distance += 1
+        elif down & top:
+            distance -= 1
+        if distance - left > most:
+            return False
+        up, down = (up << 1 | 1) & full, down << 1 & full
+        plus, minus = down | ~(diagonal | up) & full, up & diagonal
+    return distance <= most
+
+
+def _links(group: pa.Table) -> list[tuple[int, int]]:
+    texts = group.column("line").to_pylist()
+    sizes = np.array([len(t) for t in texts])
+    # No edit changes more than two of the counts of bytes by one.
+    counts = np.array([np.bincount(np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8) & 63, minlength=64) for t in texts], np.int64)
+    bytes_in = np.array([len(t.encode("utf-8", "surrogatepass")) for t in texts])
+
+    def near(y: int) -> np.ndarray:
+        longest = np.maximum(sizes, sizes[y])
+        most = longest * (100 - EDIT_PERCENT) // 100
+        ascii_only = (bytes_in == sizes) & (bytes_in[y] == sizes[y])
+        off = np.abs(counts - counts[y]).sum(axis=1)
+        may = (longest - np.minimum(sizes, sizes[y]) <= most) & (off <= np.where(ascii_only, 2, 8) * most)
+        may[y] = False
+        found = np.flatnonzero(may)
+        return found[np.argsort(off[found], kind="stable")]
+
+    def holds(y: int, others: np.ndarray) -> np.ndarray:
+        return np.array([within(texts[y], texts[x], max(sizes[y], sizes[x]) * (100 - EDIT_PERCENT) // 100) for x in others], bool)
+
+    return forest(len(texts), near, holds)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -118,22 +163,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     rows = settle(map_arrow(texts, _line_rows, "doc_id long, tid long, pos int, h long, length int, print long"))
     classes = settle(rows.groupBy("h").agg(F.min(F.struct("doc_id", "tid", "pos")).alias("first"), F.count("*").alias("n"), F.min("length").alias("length"), F.min("print").alias("print")))
     keys = map_arrow(classes.select("h", "print"), _key_rows, "key long, node long")
-    attributes = classes.select(F.col("h").alias("node"), "length", "print")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-        where = classes.join(both, "h").select(F.col("first.doc_id").alias("doc_id"), F.col("first.tid").alias("tid")).distinct()
+    def payload(nodes: DataFrame) -> DataFrame:
+        own = classes.join(nodes.withColumnRenamed("node", "h"), "h").select("h", "first.doc_id", "first.tid")
+        where = own.select("doc_id", "tid").distinct()
         held = texts.alias("t").join(where.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.tid") == F.col("w.tid")), "left_semi").select("text")
-        found = settle(map_arrow(held, _line_texts, "h long, line string").join(both, "h", "left_semi").dropDuplicates(["h"]))
-        with_text = pairs.join(found.select(F.col("h").alias("b"), F.col("line").alias("y")), "b").join(found.select(F.col("h").alias("a"), F.col("line").alias("x")), "a")
-        return with_text.where(F.expr(f"levenshtein(x, y, cast(greatest(length(x), length(y)) * {100 - EDIT_PERCENT} div 100 as int)) >= 0")).select("a", "b")
-
-    links = linked(
-        keys, attributes,
-        lambda x, y: _similar(x["length"], y["length"]),
-        lambda x, y: _similar(x["length"], y["length"]) & (F.bit_count(x["print"].bitwiseXOR(y["print"])) <= SURE_BITS),
-        verified,
-    )
+        return settle(map_arrow(held, _line_texts, "h long, line string").join(own.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"]).withColumnRenamed("h", "node"))
+
+    links = linked(keys, payload, _links)
     groups = settle(components(links))
     # Classes that occur once and are in no group have nothing to drop.
     grouped = classes.join(groups.withColumnRenamed("node", "h"), "h", "left").join(groups.select(F.col("component").alias("h"), F.lit(True).alias("head")).distinct(), "h", "left")

@@ -1,21 +1,24 @@
-"""Links between rows that share keys, and the connected groups they make. DataFrame operations only.
+"""Links between rows that share keys, and the connected groups they make.
 
-Within a key nothing is paired with everything: every row is paired with the key's smallest row, which already joins
-most of a group; only where a key still holds rows of different groups are pairs across those groups made, and only
-those that a cheap test lets through. All pairs are then verified, and the groups come from verified links alone.
+No pairs of a key are made into rows: rows with a common hub are compared together, the hub with all of them first,
+which joins most of a group, then only rows of different groups. What comes out are links enough to connect them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segloom.llm.tables import settle
+from segloom.llm.tables import map_arrow, settle
 
 #: Rounds after which groups must have come to rest; each at least halves a chain.
 ROUNDS = 60
+#: Nodes of a hub that are compared in one go.
+BLOCK = 1024
 
 
 def _sum(edges: DataFrame) -> tuple:
@@ -46,40 +49,76 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def _sides(pairs: DataFrame, attributes: DataFrame) -> DataFrame:
-    """Pairs with the attributes of both rows as structs x and y."""
-    names = [c for c in attributes.columns if c != "node"]
-    x = attributes.select(F.col("node").alias("a"), F.struct(*names).alias("x"))
-    y = attributes.select(F.col("node").alias("b"), F.struct(*names).alias("y"))
-    return pairs.join(y, "b").join(x, "a")
+def forest(n: int, near: Callable[[int], np.ndarray], holds: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Links that connect rows 0 to n - 1 as all links among them would.
+
+    near: rows that may be linked to a row, the likeliest first. holds: which of some rows are. Row 0 is tried with all
+    first; the others only across the groups that are left.
+    """
+    group, links = np.arange(n), []
+
+    def link(y: int, x: int) -> None:
+        links.append((y, x))
+        group[group == group[x]] = group[y]
+
+    some = near(0)
+    for x in some[holds(0, some)]:
+        link(0, int(x))
+    alone = group != 0
+    for y in np.flatnonzero(alone):
+        some = near(int(y))
+        some = some[(some > 0) & (~alone[some] | (some > y))]
+        for at in range(0, len(some), 64):
+            few = some[at : at + 64]
+            few = few[group[few] != group[y]]
+            if len(few):
+                for x in few[holds(int(y), few)]:
+                    if group[x] != group[y]:
+                        link(int(y), int(x))
+    return links
 
 
-def linked(rows: DataFrame, attributes: DataFrame, near: Callable[[Column, Column], Column], sure: Callable[[Column, Column], Column], verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Verified links (a < b) that connect what all links between rows of a common key would connect.
+def linked(rows: DataFrame, payload: Callable[[DataFrame], DataFrame], links_of: Callable[[pa.Table], list[tuple[int, int]]]) -> DataFrame:
+    """Links (a, b) that connect what all links between rows of a common key would connect.
 
-    rows: key, node, read twice. attributes: one row for each node. near: a cheap test that every link passes.
-    sure: a cheap test after which a pair counts as linked until it is verified. verified: the pairs that hold.
+    rows: key, node; read twice. payload: from a table of nodes, theirs: node and what links_of needs. links_of: from
+    the payload of some nodes in order, links between their positions (see forest).
+
+    A key's smallest node is its hub, and nodes with a common hub are compared together: whoever shares a key shares
+    its hub. Beyond BLOCK nodes a hub's nodes are dealt into blocks, and every two blocks are compared, so that no task
+    holds more than two blocks and the hub.
     """
-    keys = rows.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    shared = settle(rows.join(keys, "key").select("key", F.col("node"), "a"))
-    stars = shared.where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    stars = settle(_sides(stars, attributes).where(near(F.col("x"), F.col("y"))).select("a", "b", sure(F.col("x"), F.col("y")).alias("sure")))
-
-    def across(groups: DataFrame) -> DataFrame:
-        own = shared.select("key", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        torn = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        names = [c for c in attributes.columns if c != "node"]
-        open_rows = settle(own.join(torn, "key").join(attributes, "node").select("key", "node", "component", F.struct(*names).alias("v")))
-        left = open_rows.select("key", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("v").alias("x"))
-        right = open_rows.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("v").alias("y"))
-        pairs = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near(F.col("x"), F.col("y")))
-        return pairs.select("a", "b").distinct()
-
-    groups = components(stars.where("sure").select("a", "b"))
-    tested = settle(across(groups).unionByName(stars.select("a", "b")).distinct())
-    links = settle(verified(tested).select("a", "b"))
-    if stars.where("sure").join(links, ["a", "b"], "left_anti").limit(1).count():
-        # Some that seemed sure were not: what they hid is paired now, between groups of verified links.
-        more = settle(across(components(links)).join(tested, ["a", "b"], "left_anti"))
-        links = settle(links.unionByName(verified(more).select("a", "b")))
-    return links
+    hubs = rows.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
+    stars = settle(rows.join(hubs, "key").where("hub <> node").select("hub", "node").distinct())
+    blocks = stars.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = stars.join(blocks, "hub").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node")
+    placed = placed.unionByName(placed.select("hub", "i", "j", F.col("hub").alias("node")).distinct())
+    nodes = stars.select("node").unionByName(stars.select(F.col("hub").alias("node"))).distinct()
+    full = placed.join(payload(nodes), "node").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "node")
+
+    def compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, ["hub", "i", "j"]):
+            node = group.column("node").to_numpy()
+            found = np.array(links_of(group), np.int64).reshape(-1, 2)
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(node[found[:, 0]]), pa.array(node[found[:, 1]])], names=["a", "b"])
+
+    return settle(map_arrow(full, compared, "a long, b long").distinct())
+
+
+def _groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Consecutive rows with the same keys."""
+    held, of = [], None
+    for batch in batches:
+        values = np.stack([batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]).T
+        starts = np.flatnonzero(np.concatenate([[True], (values[1:] != values[:-1]).any(axis=1)])) if len(values) else np.zeros(0, np.int64)
+        for lo, hi in zip(starts, np.append(starts[1:], len(values)), strict=True):
+            key = tuple(values[lo])
+            if key != of and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            of = key
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)

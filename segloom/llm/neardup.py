@@ -15,23 +15,21 @@ component (null); an empty table gives an empty result; other columns are ignore
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segloom.llm.linking import components, linked
+from segloom.llm.linking import components, forest, linked
 from segloom.llm.tables import map_arrow, settle
 from segloom.llm.words import chunks, mix, shingle_sets
 
 WIDTH, PERCENT = 5, 75
 PERMUTATIONS, BAND = 192, 6
 BANDS = 2 * PERMUTATIONS // BAND
-#: Of the lowest bits of all values, how many may differ: seven deviations above what similarity 0.75 expects, and
-#: (for pairs taken as linked until verified) three below.
-NEAR_BITS, SURE_BITS = 94, 28
+#: Of the lowest four bits of all values, how many may differ: five deviations above what similarity 0.75 expects.
+NEAR = 132
 _RNG = np.random.default_rng(41)
 _FACTORS = _RNG.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BLOCK = 4096
@@ -68,53 +66,73 @@ def _signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             print_a, print_b = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
             for i, s in enumerate(sets):
                 print_a[i], print_b[i] = mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-            bits = np.packbits((mix(sig) & np.uint64(1)).astype(np.uint8), axis=1).view(np.uint64)
-            sketch, keys = iter(bits.view(np.int64).tolist()), iter(_bands(sig).view(np.int64).tolist())
+            keys = iter(_bands(sig).view(np.int64).tolist())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids[lo:hi], pa.int64()), pa.array(n), pa.array(print_a.view(np.int64)), pa.array(print_b.view(np.int64)),
-                    pa.array([next(sketch) if k else None for k in n], pa.list_(pa.int64())), pa.array([next(keys) if k else None for k in n], pa.list_(pa.int64())),
+                    pa.array([next(keys) if k else None for k in n], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n", "p", "q", "sketch", "keys"],
+                names=["doc_id", "n", "p", "q", "keys"],
             )
 
 
+def _sketch(sig: np.ndarray) -> np.ndarray:
+    """The lowest four bits of each mixed value."""
+    low = (mix(sig) & np.uint64(15)).astype(np.uint8)
+    return (low[0::2] << 4 | low[1::2]).view(np.uint64)
+
+
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for lo, hi in chunks(texts, 1 << 21):
-            sets = [s.view(np.int64) for s in shingle_sets(texts[lo:hi], WIDTH)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
-
-
-def _differing(x: Column, y: Column) -> Column:
-    return reduce(lambda s, c: s + c, [F.bit_count(x["sketch"][i].bitwiseXOR(y["sketch"][i])) for i in range(2 * PERMUTATIONS // 64)])
+            sets = shingle_sets(texts[lo:hi], WIDTH)
+            kept = [i for i, s in enumerate(sets) if len(s)]
+            columns = [pa.array([ids[lo + i] for i in kept], pa.int64()), pa.array([_sketch(signature(sets[i])).tobytes() for i in kept], pa.binary()), pa.array([sets[i].tobytes() for i in kept], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "sketch", "shingles"])
+
+
+def _links(group: pa.Table) -> list[tuple[int, int]]:
+    sets = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("shingles")]
+    sketch = np.array([np.frombuffer(x.as_py(), np.uint64) for x in group.column("sketch")])
+    sizes = np.array([len(s) for s in sets])
+    ones = np.uint64(0x1111111111111111)
+
+    def near(y: int) -> np.ndarray:
+        d = sketch ^ sketch[y]
+        d |= d >> np.uint64(1)
+        d |= d >> np.uint64(2)
+        differing = np.bitwise_count(d & ones).sum(axis=1)
+        may = (differing <= NEAR) & (np.minimum(sizes, sizes[y]) * 100 >= np.maximum(sizes, sizes[y]) * PERCENT)
+        may[y] = False
+        found = np.flatnonzero(may)
+        return found[np.argsort(differing[found], kind="stable")]
+
+    def holds(y: int, others: np.ndarray) -> np.ndarray:
+        if not len(others):
+            return np.zeros(0, bool)
+        flat = np.concatenate([sets[x] for x in others])
+        at = np.minimum(np.searchsorted(sets[y], flat), sizes[y] - 1)
+        common = np.add.reduceat(sets[y][at] == flat, np.concatenate([[0], np.cumsum(sizes[others])[:-1]]), dtype=np.int64)
+        return common * 100 >= (sizes[others] + sizes[y] - common) * PERCENT
+
+    return forest(len(sets), near, holds)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = settle(map_arrow(texts, _signed, "doc_id long, n long, p long, q long, sketch array<long>, keys array<long>"))
+    signed = settle(map_arrow(texts, _signed, "doc_id long, n long, p long, q long, keys array<long>"))
     full = signed.where("n > 0 and doc_id is not null")
     classes = settle(full.groupBy("n", "p", "q").agg(F.min("doc_id").alias("rep")))
     first = full.join(classes.select("n", "p", "q", F.col("rep").alias("doc_id")), ["n", "p", "q", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
     rows = first.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))
-    attributes = first.select(F.col("doc_id").alias("node"), "n", "sketch")
-
-    def near(x: Column, y: Column) -> Column:
-        return (F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * PERCENT) & (_differing(x, y) <= NEAR_BITS)
-
-    def sure(x: Column, y: Column) -> Column:
-        return _differing(x, y) <= SURE_BITS
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = settle(map_arrow(texts.join(ids, "doc_id", "left_semi"), _sets, "node long, shingles array<long>").dropDuplicates(["node"]))
-        both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-        common = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("i"))
-        return common.where(F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * PERCENT).select("a", "b")
+    def payload(nodes: DataFrame) -> DataFrame:
+        own = texts.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+        return settle(map_arrow(own, _sets, "node long, sketch binary, shingles binary").dropDuplicates(["node"]))
 
-    groups = components(linked(rows, attributes, near, sure, verified).unionByName(_same_document(full, classes)))
+    groups = components(linked(rows, payload, _links).unionByName(_same_document(full, classes)))
     member = signed.select("doc_id", "n", "p", "q").join(classes, ["n", "p", "q"], "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     member = member.withColumn("component_id", F.when(F.col("n") > 0, F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id")))
     return member.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
