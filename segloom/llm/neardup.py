@@ -129,7 +129,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = first.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))
 
     def payload(nodes: DataFrame) -> DataFrame:
-        own = texts.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+        own = texts.join(nodes.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left_semi")  # nodes grow with the input: never broadcast
         return settle(map_arrow(own, _sets, "node long, sketch binary, shingles binary").dropDuplicates(["node"]))
 
     groups = components(linked(rows, payload, _links).unionByName(_same_document(full, classes)))
