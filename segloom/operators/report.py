@@ -42,9 +42,14 @@ def throughput(completion_tokens: Column, eval_ms: Column, translated: Column, d
     return [rate(completion_tokens, eval_ms / 1000.0).alias("tokens_per_sec"), rate(translated, duration_ms / 60000.0).alias("segments_per_min")]
 
 
-def lines(report: DataFrame) -> DataFrame:
-    """The report as one line of text for each row."""
-    return report.withColumn("line", F.format_string("%d segments: %d translated, %d kept", "total", "translated", "kept"))
+def lines(report: DataFrame, name: str) -> DataFrame:
+    """The report as text, one string for each row; name is the column that tells the runs apart."""
+    parts = [
+        F.format_string("Translation report: %s", F.col(name).cast("string")), F.lit("-" * 60), F.format_string("  Total segments   %d", "total"), F.format_string("  Translated       %d", "translated"),
+        F.format_string("  Kept original    %d", "kept"), F.format_string("  Chars            %d source -> %d translated", "chars_source", "chars_translated"),
+        F.when((F.col("total") > 0) & (F.col("not_source_language") == F.col("total")), F.lit("  WARNING: every segment was kept because its text is not in the declared source language.")),
+    ]
+    return report.select(name, F.concat_ws("\n", *parts).alias("report"))
 
 
 def fit_table(fitted: DataFrame) -> DataFrame:

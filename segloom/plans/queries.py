@@ -539,3 +539,28 @@ def ink_spans(spark, sf_dir):
 def profile_medians(spark, sf_dir):
     """The two medians: the upper of two middles, and their mean."""
     return column_profile(spark, sf_dir).groupBy("image").agg(L.upper_median(F.collect_list("ink")).alias("upper_median"), F.median("ink").alias("middle"))
+
+
+@query(f"with {SEGMENTS_SQL} select doc_id, count(*) as total, count(*) filter (regexp_matches(text, '\\p{{L}}')) as translated, cast(sum(length(text)) as bigint) as chars_source, cast(sum(case when regexp_matches(text, '\\p{{L}}') then length(text) + 9 else 0 end) as bigint) as chars_translated from seg group by doc_id")
+def translate_run(spark, sf_dir):
+    """The whole run with the provider that puts the language before each text."""
+    from segloom.operators.providers import echo_factory
+    from segloom.plans.translate import translate
+
+    rows = lines(spark, sf_dir).select("*", F.lit(400.0).alias("box_w"), F.lit(300.0).alias("box_h"), F.lit(12.0).alias("size_pt"))
+    run = translate(rows, SOURCE, TARGET, echo_factory(TARGET), f"echo-{TARGET}")
+    return run.report.select("doc_id", "total", "translated", "chars_source", "chars_translated")
+
+
+@query()
+def vision_regions(spark, sf_dir):
+    """Regions out of answers in several formats: fenced, bare lists, corners; the tests hold them against what was meant."""
+    from segloom.sources import vision
+
+    rows = regions(spark, sf_dir).where("image_id % 4 = 0")
+    one = F.when(F.col("image_id") % 8 == 0, F.to_json(F.struct(F.array("box.x", "box.y", F.col("box.x") + F.col("box.w"), F.col("box.y") + F.col("box.h")).alias("bbox_2d"), F.col("text").alias("label"))))
+    one = F.coalesce(one, F.to_json(F.struct(F.col("box").alias("bbox"), "text")))
+    listed = F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", one.alias("j")))), lambda s: s["j"]), ","), F.lit("]"))
+    answers = rows.groupBy("image_id").agg(listed.alias("list"))
+    content = F.when(F.col("image_id") % 3 == 0, F.concat(F.lit("Here:\n```json\n"), "list", F.lit("\n```"))).otherwise(F.concat(F.lit('{"regions":'), "list", F.lit("}")))
+    return flat(vision.regions(answers.select(F.col("image_id").cast("string").alias("image_id"), F.lit(200).alias("width"), F.lit(100).alias("height"), content.alias("content"))))
