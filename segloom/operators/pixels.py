@@ -246,3 +246,8 @@ def cell_rows(images: DataFrame, schema) -> DataFrame:
         yield from out_batches(({"image_id": r["image_id"], "pos": k} | c for r in rows_of(batches) for k, c in enumerate(cells(r["regions"] or [], pixels_of(r)))), arrow)
 
     return images.mapInArrow(run, schema)
+
+
+def turned(pixels: np.ndarray, clockwise: bool) -> np.ndarray:
+    """An image turned by a quarter."""
+    return np.rot90(pixels, -1 if clockwise else 1)

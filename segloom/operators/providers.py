@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from segloom.functions import boxes
 from segloom.operators.ordered import out_batches, rows_of
 from segloom.shipping import ship
 
@@ -70,3 +71,35 @@ def prefixed(target: str, text: Column) -> Column:
 def sane_capabilities(parsed: Column) -> Column:
     """Of a map from models to structs, the entries whose flag is there."""
     return F.map_filter(parsed, lambda _, v: v["structuredWithThinkOff"].isNotNull())
+
+
+def detected(images: DataFrame, name: str, factory: Callable[[], Callable[[bytes], list[dict]]]) -> DataFrame:
+    """images (image_id, content) as regions that a recognition engine finds, or an error.
+
+    The engine takes an image's bytes and gives points (a polygon of x and y) or box, text and confidence. Lines without
+    a place are left out; a polygon's box is around it, and a line counts as rotated where its first edge leans or its
+    box is upright.
+    """
+    ship(images.sparkSession)
+    point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+    schema = pa.schema([("image_id", pa.string()), ("pos", pa.int32()), ("points", pa.list_(point)), ("text", pa.string()), ("confidence", pa.float64()), ("error", pa.string())])
+
+    def of(row: dict, engine: Callable[[bytes], list[dict]]) -> Iterator[dict]:
+        try:
+            found = [r for r in engine(row["content"]) if r.get("points")]
+        except Exception as e:  # what an engine raises is data
+            yield {"image_id": row["image_id"], "error": str(e)}
+            return
+        for k, r in enumerate(found):
+            yield {"image_id": row["image_id"], "pos": k, "points": [{"x": float(x), "y": float(y)} for x, y in r["points"]], "text": r["text"], "confidence": float(r["confidence"])}
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        engine = _once(name, factory)
+        yield from out_batches((r for row in rows_of(batches) for r in of(row, engine)), schema)
+
+    rows = images.select("image_id", "content").mapInArrow(run, "image_id string, pos int, points array<struct<x: double, y: double>>, text string, confidence double, error string")
+    box = boxes.bounding(F.col("points"))
+    placed = rows.withColumn("box", F.when(F.col("points").isNotNull(), box))
+    turned = boxes.skewed(F.col("points")) | boxes.vertical_shape(F.col("box"), F.col("text"))
+    empty = "cast(null as struct<x: double, y: double, w: double, h: double>)"
+    return placed.select("image_id", "pos", "box", F.expr(empty).alias("ink"), "text", "confidence", F.when(turned, F.lit(True)).alias("rotated"), F.lit(None).cast("int").alias("rotation"), "error")

@@ -163,11 +163,11 @@ checked as (select *, case when not requested or times is null or times > 1 then
 def answers(rows: DataFrame, stage: int = 1) -> DataFrame:
     """Answers with faults; at later stages only the places that are divisible by the stage fail again."""
     fault = F.expr(FAULT) if stage == 1 else F.when(F.expr(f"(doc_id + pos) % {stage + 1} = 0"), F.expr(FAULT)).otherwise(F.lit(0))
-    own = rows.withColumn("fault", fault)
-    first = own.where("fault <> 1").withColumn("translation", F.when(F.col("fault") == 3, F.lit(" \t")).when(F.col("fault") == 4, F.concat(F.translate("text", SMALL, LARGE), F.lit(" "))).otherwise(F.concat(F.lit("[German] "), "text")))
-    again = own.where("fault = 2").withColumn("translation", F.lit("again"))
-    unknown = own.where("fault = 5").withColumns({"id": F.concat("id", F.lit("?")), "translation": F.lit("who")})
-    return first.unionByName(again).unionByName(unknown).drop("fault")
+    text = F.when(fault == 3, F.lit(" \t")).when(fault == 4, F.concat(F.translate("text", SMALL, LARGE), F.lit(" "))).otherwise(F.concat(F.lit("[German] "), "text"))
+    one = lambda i, t: F.struct(i.alias("id"), t.alias("translation"))
+    given, none = one(F.col("id"), text), F.array().cast("array<struct<id: string, translation: string>>")
+    more = F.when(fault == 1, none).when(fault == 2, F.array(given, one(F.col("id"), F.lit("again")))).when(fault == 5, F.array(given, one(F.concat("id", F.lit("?")), F.lit("who")))).otherwise(F.array(given))
+    return rows.select(*[c for c in rows.columns if c not in ("id", "text", "pos")], F.inline(more))
 
 
 @query(f"{CHECKED_SQL} select id, case when reason is null then translation end as translation, reason, requested from checked")

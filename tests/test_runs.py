@@ -77,3 +77,36 @@ def test_paint_sizes(spark):
 def test_capabilities(spark):
     parsed = spark.sql("select from_json('{\"a\":{\"structuredWithThinkOff\":true},\"b\":{},\"c\":{\"structuredWithThinkOff\":\"x\"}}', 'map<string, struct<structuredWithThinkOff: boolean>>') as m")
     assert parsed.select(providers.sane_capabilities(parsed["m"])).first()[0].keys() == {"a"}
+
+
+def test_an_engine_finds_regions(spark):
+    def factory():
+        def engine(content):
+            if content == b"bad":
+                raise RuntimeError("no image")
+            straight, leaning, tall = [(0, 0), (50, 0), (50, 10), (0, 10)], [(0, 0), (50, 20), (45, 30), (0, 10)], [(0, 0), (10, 0), (10, 60), (0, 60)]
+            return [{"points": p, "text": "Some text", "confidence": 0.9} for p in (straight, None, leaning, tall)]
+
+        return engine
+
+    images = spark.createDataFrame([("a", bytearray(b"good")), ("b", bytearray(b"bad"))], "image_id string, content binary")
+    rows = sorted(providers.detected(images, "engine", factory).collect(), key=lambda r: (r.image_id, r.pos or 0))
+    assert [(r.image_id, r.pos, r.rotated, r.error) for r in rows] == [("a", 0, None, None), ("a", 1, True, None), ("a", 2, True, None), ("b", None, None, "no image")]
+    assert tuple(rows[1].box) == (0.0, 0.0, 50.0, 30.0)
+
+
+def test_turned_images_and_boxes_agree(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from segloom.functions import boxes
+    from segloom.operators.pixels import turned
+
+    image = np.zeros((30, 50, 3), np.uint8)
+    image[5:9, 20:40] = 255  # a box of 20 by 4 at x 20, y 5
+    for clockwise in (True, False):
+        ys, xs = np.nonzero(turned(image, clockwise)[:, :, 0])
+        found = boxes.box(*[F.lit(int(v)) for v in (xs.min(), ys.min(), xs.max() - xs.min() + 1, ys.max() - ys.min() + 1)])
+        back = boxes.from_clockwise(found, F.lit(30)) if clockwise else boxes.from_counterclockwise(found, F.lit(50))
+        assert tuple(spark.range(1).select(back.alias("b")).first().b) == (20, 5, 20, 4)
+    assert tuple(spark.range(1).select(boxes.whole_pixels(boxes.box(F.lit(-1.5), F.lit(2.2), F.lit(9.0), F.lit(4.0)), F.lit(5), F.lit(100)).alias("b")).first().b) == (0, 2, 5, 5)
