@@ -2,9 +2,14 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from segloom.operators import layout, providers, report
+from segloom.functions import boxes
+from segloom.operators import imagetext, layout, providers, report
+from segloom.operators import regions as G
+from segloom.operators.pixels import turned
 from segloom.plans.translate import translate
 from segloom.sources import vision
 
@@ -41,7 +46,7 @@ def test_a_run_with_faults_reconciles(spark):
 def test_the_echo_provider_equals_its_expression(spark):
     row = {"user": json.dumps([{"id": "1", "text": "Ü\n\"x\""}])}
     content = json.loads(providers.echo_factory("German")()(row)["content"])
-    expression = spark.createDataFrame([("Ü\n\"x\"",)], "t string").select(providers.prefixed("German", __import__("pyspark.sql.functions", fromlist=["col"]).col("t"))).first()[0]
+    expression = spark.createDataFrame([("Ü\n\"x\"",)], "t string").select(providers.prefixed("German", F.col("t"))).first()[0]
     assert content["translations"] == [{"id": "1", "translation": expression}]
 
 
@@ -96,12 +101,6 @@ def test_an_engine_finds_regions(spark):
 
 
 def test_turned_images_and_boxes_agree(spark):
-    import numpy as np
-    from pyspark.sql import functions as F
-
-    from segloom.functions import boxes
-    from segloom.operators.pixels import turned
-
     image = np.zeros((30, 50, 3), np.uint8)
     image[5:9, 20:40] = 255  # a box of 20 by 4 at x 20, y 5
     for clockwise in (True, False):
@@ -110,3 +109,22 @@ def test_turned_images_and_boxes_agree(spark):
         back = boxes.from_clockwise(found, F.lit(30)) if clockwise else boxes.from_counterclockwise(found, F.lit(50))
         assert tuple(spark.range(1).select(back.alias("b")).first().b) == (20, 5, 20, 4)
     assert tuple(spark.range(1).select(boxes.whole_pixels(boxes.box(F.lit(-1.5), F.lit(2.2), F.lit(9.0), F.lit(4.0)), F.lit(5), F.lit(100)).alias("b")).first().b) == (0, 2, 5, 5)
+
+
+def test_regions_become_segments_and_paints(spark):
+    box = "struct<x: double, y: double, w: double, h: double>"
+    schema = f"image_id string, pos int, box {box}, ink {box}, text string, confidence double, rotated boolean, rotation int"
+    rows = [
+        ("d/a.png", 0, (10.0, 10.0, 100.0, 20.0), None, "Hello", 0.9, None, None), ("d/a.png", 1, (10.0, 50.0, 20.0, 90.0), None, "Turned", 0.9, None, -90), ("d/a.png", 2, (60.0, 50.0, 50.0, 20.0), None, "Unsure", 0.5, None, None),
+        ("d/a.png", 3, (120.0, 50.0, 50.0, 20.0), None, "Leaning", 0.9, True, None), ("d/a.png", 4, (120.0, 150.0, 50.0, 20.0), None, "质量报告", 0.9, None, None),
+    ]
+    images = spark.createDataFrame([("d/a.png", 300.0, 300.0)], "image_id string, width double, height double")
+    valid = G.validated(spark.createDataFrame(rows, schema), images)
+    got = {r.text: r for r in imagetext.segments(valid, "English").collect()}
+    assert set(got) == {"Hello", "Turned"} and got["Hello"].group_key == "a.png" and got["Hello"].family == "Noto Sans"
+    assert abs(got["Hello"].size_pt * 0.72 - 20) <= 0.25 and (got["Hello"].box_w, got["Turned"].box_w) == (104.0, 94.0)
+    assert got["Hello"].box_h == max(24.0, got["Hello"].size_pt * 1.2)
+    assert sorted((r.id, r.reason) for r in imagetext.skipped(valid, "English").collect()) == [("r3", "low-confidence region"), ("r4", "rotated region")]
+    fitted = layout.fitted(imagetext.segments(valid, "English").withColumn("final_text", F.when(F.col("text") == "Hello", F.lit("Hallo")).otherwise(F.col("text"))))
+    paint = imagetext.paints(fitted).first().paints
+    assert [(p.lines, p.rotation) for p in paint] == [(["Hallo"], None)] and paint[0].size > 0
