@@ -26,13 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from segloom.llm.tables import map_arrow, settle
+from segloom.llm.tables import map_arrow, settle, small
 from segloom.llm.words import chunks, mix, word_hashes
 
 ORDER = 5
 HEAD_GRAMS, HEAD_WORDS = 1 << 21, 1 << 20
 #: Distinct keys that a task holds before it passes their counts on.
-_HELD = 1 << 21
+_HELD = 1 << 20
 _FEED = 10
 _END_WORD = int(mix(np.array([0x656E64], np.uint64))[0])
 
@@ -76,8 +76,8 @@ class _Counts:
     def passed(self, least: int) -> Iterator[pa.RecordBatch]:
         if self.held > 2 * least:
             self.merge()
-        if self.held > least:
-            self.merge()
+            if self.held <= least:
+                return
             for at in range(0, self.held, 1 << 18):
                 keys, n = self.keys[0][at : at + (1 << 18)], self.counts[0][at : at + (1 << 18)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), self.kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
@@ -87,11 +87,11 @@ class _Counts:
 def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of grams (kind 0; 0 for those of held-out texts alone) and of training words (kind 1)."""
     grams, words = _Counts(0), _Counts(1)
-    for batch in batches:
+    for batch in small(batches):
         texts, held = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for train in (True, False):
             own = [t for t, h in zip(texts, held, strict=True) if h is not train]
-            for lo, hi in chunks(own, 1 << 22):
+            for lo, hi in chunks(own, 1 << 20):
                 grams.add(streams(own[lo:hi])[0], int(train))
                 if train:
                     words.add(word_hashes(own[lo:hi])[0], 1)
@@ -221,7 +221,7 @@ def score(docs: DataFrame, held_out: Column, head_grams: int = HEAD_GRAMS, head_
                 out[i].append({"key": key, "n": k})
             return out
 
-        for batch in batches:
+        for batch in small(batches):
             ids, held, own = (batch.column(k).to_pylist() for k in range(3))
             for lo, hi in chunks(own, 1 << 20):
                 n = hi - lo

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from segloom.shipping import ship
@@ -58,3 +60,10 @@ def restored(df: DataFrame, columns: list[str], names: dict[str, str], *more: st
     """The columns under their original names, and more of df's own."""
     back = {c: a for a, c in names.items()}
     return df.select(*[df[back.get(c, c)].alias(c) for c in columns], *more)
+
+
+def small(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches in slices, so that what Python makes of their texts stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
