@@ -173,7 +173,10 @@ def _searcher(k: int):
             for at in range(0, len(asked), 256):
                 few = asked[at : at + 256]
                 vectors = np.array([q["vector"] for q in few], np.float64)
-                near, _ = graph.search(np.concatenate([vectors, np.zeros((len(few), 1))], axis=1).astype(np.float32), BEAM)
+                if n <= BEAM:  # a beam would hold them all
+                    near = np.broadcast_to(np.arange(n), (len(few), n))
+                else:
+                    near, _ = graph.search(np.concatenate([vectors, np.zeros((len(few), 1))], axis=1).astype(np.float32), BEAM)
                 for q, vector, found in zip(few, vectors, near, strict=True):
                     found = found[found >= 0]
                     score = np.einsum("ij,j->i", exact[found], vector)
