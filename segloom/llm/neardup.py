@@ -134,7 +134,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     groups = components(linked(rows, payload, _links).unionByName(_same_document(full, classes)))
     member = signed.select("doc_id", "n", "p", "q").join(classes, ["n", "p", "q"], "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    member = member.withColumn("component_id", F.when(F.col("n") > 0, F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id")))
+    member = member.withColumn("component_id", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id")))
     return member.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 

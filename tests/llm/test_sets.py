@@ -75,7 +75,7 @@ def test_near_duplicates_of_odd_tables(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f"), (3, "q r s t u v")]
     got = sorted(((r.doc_id or -1, r.component_id or -1, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()))
-    assert got == [(-1, -1, True), (1, 1, True), (1, 1, True), (3, 1, False), (3, 1, False)] or got[1:] == [(1, 1, True), (1, 1, True), (3, 1, False), (3, 1, False)]
+    assert got == [(-1, -1, True), (1, 1, True), (1, 1, True), (3, 1, False), (3, 1, False)]
 
 
 def test_signatures_estimate_similarity():
@@ -206,7 +206,7 @@ def test_fingerprints_and_what_follows(spark):
 def test_fingerprints_of_odd_tables(spark):
     assert fingerprint.compared_with_next(spark.createDataFrame([], DOCS)).collect() == []
     one = fingerprint.compared_with_next(spark.createDataFrame([(5, "abcdefgh ij")], DOCS)).collect()
-    assert [(r.doc_id, r.near_next) for r in one] == [(5, 1.0)] and one[0].edited_sha256 == hashlib.sha256(b"abcdefgh iab"[:11] if False else b"abcdefgh ab"[:9] + b"ab").hexdigest()
+    assert [(r.doc_id, r.near_next) for r in one] == [(5, 1.0)] and one[0].edited_sha256 == hashlib.sha256(b"abcdefgh ab").hexdigest()
     same = fingerprint.compared_with_next(spark.createDataFrame([(1, "x y z"), (1, "x y z"), (None, None)], DOCS)).collect()
     assert len(same) == 3
 
