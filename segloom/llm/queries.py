@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segloom.llm import fingerprint, graph, language, lines, lm, mixing, neardup, packing, sharding, toxicity
-from segloom.llm.tables import settle, table
+from segloom.llm.tables import table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def op2_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint.near_classes(settle(fingerprint.compared_with_next(table(spark, sf_dir, "documents"))))
+    return fingerprint.near_classes(fingerprint.compared_with_next(table(spark, sf_dir, "documents")))
 
 
 def op4_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
