@@ -70,6 +70,28 @@ def _present(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
+def _frequent(present: list[np.ndarray], always: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features of at least LEAST_TEXTS texts, and those of always that occur, with the number of texts of each."""
+    flat = np.sort(np.concatenate(present)) if present else np.zeros(0, np.uint64)
+    starts = np.flatnonzero(np.concatenate([flat[:1] == flat[:1], flat[1:] != flat[:-1]]))
+    times = np.diff(np.append(starts, len(flat)))
+    words = flat[starts]
+    kept = (times >= LEAST_TEXTS) | np.isin(words, always)
+    return words[kept], times[kept]
+
+
+def _hits(present: list[np.ndarray | None], words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which text has which of some sorted features."""
+    rows, columns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, own in enumerate(present):
+        if own is not None and len(words):
+            at = np.minimum(np.searchsorted(words, own), len(words) - 1)
+            hit = at[words[at] == own]
+            rows.append(np.full(len(hit), i))
+            columns.append(hit)
+    return np.concatenate(rows), np.concatenate(columns)
+
+
 @dataclass
 class Model:
     hashes: np.ndarray
@@ -94,12 +116,12 @@ def fit(labels: np.ndarray, present: list[np.ndarray], swapped: list[np.ndarray
     if not 0 < ones < n:
         share = min(max(ones / n if n else 0.0, 1e-9), 1 - 1e-9)
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(share / (1 - share))))
-    words, column, texts = np.unique(np.concatenate(present), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(n), [len(p) for p in present])
+    terms = _terms([" ".join(SWAP)])[1]
+    words, texts = _frequent(present, terms)
+    row, column = _hits(present, words)
     with_one = np.bincount(column, weights=labels[row], minlength=len(words))
     share = texts / n
     z = (with_one / ones - (texts - with_one) / (n - ones)) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / ones + 1 / (n - ones)))
-    terms = _terms([" ".join(SWAP)])[1]
     score = np.where((texts >= LEAST_TEXTS) & (z >= LEAST_Z), z, 0)
     score[np.isin(words, terms)] = np.inf
     kept = np.sort(np.argsort(-score, kind="stable")[: min(FEATURES, int((score > 0).sum()))])
@@ -109,16 +131,10 @@ def fit(labels: np.ndarray, present: list[np.ndarray], swapped: list[np.ndarray
     use = place[column] >= 0
     r, c = row[use], place[column[use]]
     # Differences between texts and their counterfactuals, as rows of +1 and -1.
-    dr, dc, dv = [], [], []
-    for i, s in enumerate(swapped):
-        if s is not None and len(hashes):
-            for sign, own in ((1.0, present[i]), (-1.0, s)):
-                at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
-                hit = at[hashes[at] == own]
-                dr += [i] * len(hit)
-                dc += hit.tolist()
-                dv += [sign] * len(hit)
-    dr, dc, dv = np.array(dr, np.int64), np.array(dc, np.int64), np.array(dv)
+    named = [p if t is not None else None for p, t in zip(present, swapped, strict=True)]
+    own, other = _hits(named, hashes), _hits(swapped, hashes)
+    dr, dc = np.concatenate([own[0], other[0]]), np.concatenate([own[1], other[1]])
+    dv = np.concatenate([np.ones(len(own[0])), -np.ones(len(other[0]))])
     weight = np.where(labels > 0, 0.5 / ones, 0.5 / (n - ones))
     w, bias, seen, seen_bias = np.zeros(len(kept)), 0.0, np.full(len(kept), 1e-8), 1e-8
     for _ in range(STEPS):
