@@ -564,3 +564,32 @@ def vision_regions(spark, sf_dir):
     answers = rows.groupBy("image_id").agg(listed.alias("list"))
     content = F.when(F.col("image_id") % 3 == 0, F.concat(F.lit("Here:\n```json\n"), "list", F.lit("\n```"))).otherwise(F.concat(F.lit('{"regions":'), "list", F.lit("}")))
     return flat(vision.regions(answers.select(F.col("image_id").cast("string").alias("image_id"), F.lit(200).alias("width"), F.lit(100).alias("height"), content.alias("content"))))
+
+
+@query(f"""{PACKED_SQL}, clean as (select k.doc_id, p.group_no, k.pos, k.id, regexp_replace(k.text, '["/\\\\[:cntrl:]]', '', 'g') as text from packed p join kept k using (doc_id, k))
+select doc_id, group_no, '[' || string_agg('{{"id":"' || id || '","text":"' || text || '"}}', ',' order by pos) || ']' as user from clean group by doc_id, group_no""")
+def prompt_user_json(spark, sf_dir):
+    """What each group's prompt asks, for texts without characters that engines escape in their own ways."""
+    packed = S.packed(lines(spark, sf_dir)).withColumn("text", F.regexp_replace("text", r'["/\\\p{Cntrl}]', ""))
+    return X.requests(packed, S.group_contexts(packed), SOURCE, TARGET, "initial").select("doc_id", "group_no", "user")
+
+
+@query("""with r as (select user_id % 50 as run, count(*) as total, count(*) filter (event_id % 7 <> 0) as translated, cast(sum(event_id % 53) as bigint) as completion_tokens, sum(cast(event_id % 1000 as double)) as eval_ms, sum(cast(event_id % 400 as double)) as duration_ms from events group by all)
+select run, total, translated, round(case when eval_ms > 0 then completion_tokens / (eval_ms / 1000) else 0.0 end, 6) as tokens_per_sec, round(case when duration_ms > 0 then translated / (duration_ms / 60000) else 0.0 end, 6) as segments_per_min from r""")
+def run_report_stats(spark, sf_dir):
+    e = F.col("event_id")
+    runs = read(spark, sf_dir, "events").groupBy((F.col("user_id") % 50).alias("run")).agg(
+        F.count("*").alias("total"), F.count_if(e % 7 != 0).alias("translated"), F.sum(e % 53).alias("completion_tokens"), F.sum((e % 1000).cast("double")).alias("eval_ms"), F.sum((e % 400).cast("double")).alias("duration_ms"),
+    )
+    rates = report.throughput(F.col("completion_tokens"), F.col("eval_ms"), F.col("translated"), F.col("duration_ms"))
+    return runs.select("run", "total", "translated", *rates).withColumns({c: F.round(c, 6) for c in ("tokens_per_sec", "segments_per_min")})
+
+
+@query()
+def image_segments(spark, sf_dir):
+    """Validated regions as segments to translate: sizes follow from ink by bisection, which the tests check."""
+    from segloom.operators import imagetext
+
+    rows = regions(spark, sf_dir).drop("part").withColumn("image_id", F.col("image_id").cast("string"))
+    images = rows.select("image_id", F.lit(200).cast("long").alias("width"), F.lit(100).cast("long").alias("height")).distinct()
+    return imagetext.segments(G.validated(rows, images), SOURCE).select("image_id", "id", "text", "size_pt", "box_w", "box_h", "family", "group_key")
