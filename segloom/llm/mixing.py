@@ -20,7 +20,7 @@ from segloom.llm.tables import aside, restored, settle
 #: What the sources weigh, in order and repeating; their share of all sizes; the most copies of a document.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 #: Rows of one source and size beyond which they are dealt into parts, and the most such groups there can be.
-GROUP_ROWS, GROUPS = 5000, 20000
+GROUP_ROWS, GROUPS = 500, 20000
 NEWTON_STEPS, CLOSING_ROUNDS = 24, 6
 
 
