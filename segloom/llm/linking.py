@@ -90,10 +90,12 @@ def linked(rows: DataFrame, payload: Callable[[DataFrame], DataFrame], links_of:
     """
     hubs = rows.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
     stars = settle(rows.join(hubs, "key").where("hub <> node").select("hub", "node").distinct())
-    blocks = stars.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = stars.join(blocks, "hub").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    sizes = stars.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    # Hubs with more than a block are few, and only they are joined with their many nodes; the others have one block.
+    placed = stars.join(sizes.where("blocks > 1"), "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node")
-    placed = placed.unionByName(placed.select("hub", "i", "j", F.col("hub").alias("node")).distinct())
+    every = sizes.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("j", F.explode(F.sequence("i", F.col("blocks") - 1)))
+    placed = placed.unionByName(every.select("hub", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("hub").alias("node")))
     nodes = stars.select("node").unionByName(stars.select(F.col("hub").alias("node"))).distinct()
     full = placed.join(payload(nodes), "node").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "node")
 
