@@ -17,7 +17,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from segloom.llm.linking import components, forest, linked
@@ -131,25 +131,13 @@ def compared_with_next(docs: DataFrame) -> DataFrame:
     # Two loose ends for each partition: each partition's last row is followed by the first of the next that has rows.
     ends = rows.where("part is not null").select("part", "last", "loose_id", F.col("loose_text").alias("text"))
     firsts = ends.where(~F.col("last")).select(F.col("part").alias("at"), F.col("text").alias("following"))
-    order = firsts.select("at", F.row_number().over(_by("at")).alias("k"), F.count("*").over(_all()).alias("n"))
+    order = firsts.select("at", F.row_number().over(Window.orderBy("at")).alias("k"), F.count("*").over(Window.partitionBy()).alias("n"))
     lasts = ends.where("last").join(order, F.col("part") == F.col("at")).select("loose_id", "text", (F.col("k") % F.col("n") + 1).alias("want"))
     nexts = firsts.join(order, "at").select("following", F.col("k").alias("want"))
     closed = map_arrow(lasts.join(nexts, "want").select("loose_id", "text", "following"), _joined, _ROW)
     return rows.where("part is null").select(*_names(_ROW)).unionByName(closed)
 
 
-def _by(column: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(column)
-
-
-def _all():
-    from pyspark.sql import Window
-
-    return Window.partitionBy()
-
-
 def _key_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = block_keys(_words(batch.column(1).to_pylist()), BLOCKS, BLOCK_BITS, BLOCKS - RADIUS)

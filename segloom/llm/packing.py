@@ -6,7 +6,7 @@ too many, the fullest closes first. The pieces of one Arrow batch come longest f
 are known as soon as a piece arrives, and a task that runs again gives the same rows.
 
 Defined cases: null and empty texts are one piece of the end id alone; a text longer than a sequence is cut, and its
-first piece takes what is over full ones; repeated rows are packed each; no rows give no rows.
+first piece takes what is over full ones; strings of special tokens are ordinary text; repeated rows are packed each; no rows give no rows.
 """
 
 from __future__ import annotations
