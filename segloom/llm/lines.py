@@ -1,9 +1,12 @@
 """Fuzzy line deduplication: one occurrence of each group of lines that are equal or nearly so stays.
 
 Lines are normalised (lower case, punctuation as spaces, digits as 0, single spaces). Equal normalised lines are one
-class from the start. A SimHash of 64 bits of each class is cut into four blocks; classes that share two blocks,
-as all within two bits do, are candidates, and are linked when their edit similarity is 90 % or more. Of each connected
-group the first occurrence stays, by doc_id and position.
+class from the start. Classes that share a run of characters at nearly the same place are candidates, and are linked
+when their edit similarity is 90 % or more. Of each connected group the first occurrence stays, by doc_id and position.
+
+Lines under SHORT characters are keyed by all their runs of 5 to 7 characters, one of which any allowed number of edits
+leaves whole (pigeonhole), so none of their links is missed; under ten characters no edit is allowed. Longer lines
+are keyed by SKETCH of their runs of 8 or 12 characters, those of least hash, so that a link is missed only by chance.
 
 Lines of fewer than MIN_WORDS words are left alone: they recur by chance.
 
@@ -19,16 +22,19 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from segloom.llm.linking import components, forest, linked
-from segloom.llm.simhash import block_keys, signs, votes, word_terms
+from segloom.llm.linking import compared_stars, components, forest
 from segloom.llm.tables import aside, map_arrow, restored, settle
 from segloom.llm.words import _powers, chunks, mix, span_hashes, spans
 
 MIN_WORDS, EDIT_PERCENT = 5, 90
+#: Blocks of the fingerprints that candidates came from before; only tests/llm/test_sets.py reads them.
 BLOCKS, BLOCK_BITS, INTACT = 4, 16, 2
+#: Least different grams kept of a line, and the characters from which on grams are chosen, and are longer.
+SKETCH, SHORT, MIDDLE = 24, 40, 110
+_GRAM = np.uint64(0xD6E8FEB86659FD93)
 _ASCII = bytes(32 if c < 33 and c != 10 or 33 <= c < 48 or 58 <= c < 65 or 91 <= c < 97 or 123 <= c < 128 else 48 if 48 <= c < 58 else c for c in range(256))
 
 
@@ -67,13 +73,12 @@ def _line_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             letters = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
             length = np.add.reduceat(letters[ends] - letters[starts], at[:-1]) + words - 1
             keep = words >= MIN_WORDS
-            prints = signs(votes(*word_terms(h, ends - starts, at), len(words), 64))[:, 0]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([ids[lo + i] for i in text[keep]], pa.int64()), pa.array([tids[lo + i] for i in text[keep]], pa.int64()), pa.array(position[keep].astype(np.int32)),
-                    pa.array(line_hash[keep].view(np.int64)), pa.array(length[keep].astype(np.int32)), pa.array(prints[keep].view(np.int64)),
+                    pa.array(line_hash[keep].view(np.int64)), pa.array(length[keep].astype(np.int32)),
                 ],
-                names=["doc_id", "tid", "pos", "h", "length", "print"],
+                names=["doc_id", "tid", "pos", "h", "length"],
             )
 
 
@@ -96,12 +101,78 @@ def _line_texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(line_hash[keep].view(np.int64)), pa.array(lines, pa.string())], names=["h", "line"])
 
 
+def _least(h: np.ndarray, opens: np.ndarray, sizes: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The SKETCH least different hashes of the runs of q characters of each line with a size, their lines and first places."""
+
+    def least(limits: np.ndarray, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.flatnonzero(h <= np.repeat(limits, widths)[: len(h)])
+        owner = np.searchsorted(opens, at, side="right") - 1
+        inside = at - opens[owner] <= sizes[owner] - q
+        at, owner = at[inside], owner[inside]
+        order = np.lexsort((at, h[at], owner))
+        at, owner = at[order], owner[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (h[at[1:]] != h[at[:-1]]) | (owner[1:] != owner[:-1])
+        at, owner = at[new], owner[new]
+        few = np.arange(len(at)) - np.searchsorted(owner, owner) < SKETCH
+        return h[at[few]], owner[few], (at - opens[owner])[few]
+
+    # Three times as many as are needed are sorted; lines that repeat themselves come up short and are sorted whole.
+    widths = np.diff(np.append(opens, len(h) + q - 1))
+    counts = np.where(sizes, sizes - q + 1, 0)
+    most = np.minimum(3.0 * SKETCH / np.maximum(counts, 1), 1.0) * (2.0**64 - 2048)
+    found, owner, place = least(np.where(sizes, most, 0).astype(np.uint64), widths)
+    short = np.bincount(owner, minlength=len(sizes)) < np.minimum(counts, SKETCH)
+    if short.any():
+        more = least(np.where(short, 2.0**64 - 2048, 0).astype(np.uint64), widths)
+        whole, also = ~short[owner], short[more[1]]
+        return tuple(np.concatenate([x[whole], y[also]]) for x, y in zip((found, owner, place), more, strict=True))
+    return found, owner, place
+
+
+def line_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of normalised lines, and the line of each: lines of 90 % edit similarity share one (see the module's text)."""
+    points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    opens = np.cumsum(sizes + 1) - sizes - 1
+    keys, lines, h, width = [], [], np.zeros(len(points) + 1, np.uint64), 0
+    for q in (5, 6, 7, 8, 12):
+        for width in range(width + 1, q + 1):  # noqa: B020
+            h = h[:-1] * _GRAM + points[width - 1 :] if len(h) > 1 else h[:0]
+        if q < 8:
+            k = q - 4
+            some = np.flatnonzero((sizes >= 9 * k) & (sizes < 10 * k + 10))
+            counts = sizes[some] - q + 1
+            owner = np.repeat(some, counts)
+            place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+            cell = (place // (k + 1)).astype(np.uint64)
+            found = mix(h[opens[owner] + place] + np.uint64(k))
+            for c in (cell, cell + np.uint64(1)):
+                keys.append(mix(found + _GRAM * (c + np.uint64(1))))
+                lines.append(owner)
+            continue
+        low, high = (SHORT * 9 // 10, MIDDLE) if q == 8 else (MIDDLE * 9 // 10, 1 << 62)
+        found, owner, place = _least(mix(h + np.uint64(q)), opens, np.where((sizes >= low) & (sizes < high), sizes, 0), q)
+        # Each hash draws its own borders of lengths and of places, so that no pair lies across all of them.
+        band = np.floor(np.log(sizes[owner]) / np.log(1.25) + (mix(found ^ _GRAM) >> np.uint64(11)) / 2.0**53)
+        cell = np.floor(place / (0.2 * 1.25**band) + (mix(found + _GRAM) >> np.uint64(11)) / 2.0**53)
+        keys.append(mix(mix(found + band.astype(np.uint64)) + cell.astype(np.uint64)))
+        lines.append(owner)
+    return np.concatenate(keys), np.concatenate(lines)
+
+
 def _key_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        prints = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        keys = block_keys(prints[:, None], BLOCKS, BLOCK_BITS, INTACT)
-        nodes = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), keys.shape[1])
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(nodes)], names=["key", "node"])
+    """Keys of lines by hash; a line that comes again in the same task is left out while few are held."""
+    seen: set[int] = set()
+    for batch in _line_texts(batches):
+        held = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        new = [h for h in held if h not in seen]
+        if len(seen) < 1 << 18:
+            seen.update(new)
+        if not new:
+            continue
+        keys, of = line_keys([held[h] for h in new])
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.array(new, np.int64)[of])], names=["key", "node"])
 
 
 def within(a: str, b: str, most: int) -> bool:
@@ -134,19 +205,21 @@ def within(a: str, b: str, most: int) -> bool:
 def _links(group: pa.Table) -> list[tuple[int, int]]:
     texts = group.column("line").to_pylist()
     sizes = np.array([len(t) for t in texts])
-    # No edit changes more than two of the counts of bytes by one.
-    counts = np.array([np.bincount(np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8) & 63, minlength=64) for t in texts], np.int64)
-    bytes_in = np.array([len(t.encode("utf-8", "surrogatepass")) for t in texts])
+    # No edit changes the counts of characters by more than two in all, nor those of neighbouring pairs by more than four.
+    chars, pairs = np.zeros((len(texts), 64), np.int32), np.zeros((len(texts), 256), np.int32)
+    for i, t in enumerate(texts):
+        points = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        chars[i] = np.bincount(points & 63, minlength=64)
+        pairs[i] = np.bincount(points[:-1] * 31 + points[1:] * 7 & 255, minlength=256)
 
     def near(y: int) -> np.ndarray:
         longest = np.maximum(sizes, sizes[y])
         most = longest * (100 - EDIT_PERCENT) // 100
-        ascii_only = (bytes_in == sizes) & (bytes_in[y] == sizes[y])
-        off = np.abs(counts - counts[y]).sum(axis=1)
-        may = (longest - np.minimum(sizes, sizes[y]) <= most) & (off <= np.where(ascii_only, 2, 8) * most)
-        may[y] = False
-        found = np.flatnonzero(may)
-        return found[np.argsort(off[found], kind="stable")]
+        found = np.flatnonzero(longest - np.minimum(sizes, sizes[y]) <= most)
+        found = found[(found != y) & (np.abs(chars[found] - chars[y]).sum(axis=1) <= 2 * most[found])]
+        off = np.abs(pairs[found] - pairs[y]).sum(axis=1)
+        fits = off <= 4 * most[found]
+        return found[fits][np.argsort(off[fits], kind="stable")]
 
     def holds(y: int, others: np.ndarray) -> np.ndarray:
         return np.array([within(texts[y], texts[x], max(sizes[y], sizes[x]) * (100 - EDIT_PERCENT) // 100) for x in others], bool)
@@ -160,9 +233,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     docs, names = aside(docs, ("doc_id", "text", "n_chars"))
     base = docs.withColumn("lines_tid", F.xxhash64("text"))
     texts = base.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lines_tid").alias("tid"), "text")
-    rows = settle(map_arrow(texts, _line_rows, "doc_id long, tid long, pos int, h long, length int, print long"))
-    classes = settle(rows.groupBy("h").agg(F.min(F.struct("doc_id", "tid", "pos")).alias("first"), F.count("*").alias("n"), F.min("length").alias("length"), F.min("print").alias("print")))
-    keys = map_arrow(classes.select("h", "print"), _key_rows, "key long, node long")
+    rows = settle(map_arrow(texts, _line_rows, "doc_id long, tid long, pos int, h long, length int"))
+    classes = settle(rows.groupBy("h").agg(F.min(F.struct("doc_id", "tid", "pos")).alias("first"), F.count("*").alias("n"), F.min("length").alias("length")))
+    # One shuffle of the keys: they are many, and few are shared.
+    keys = map_arrow(texts.select("text"), _key_rows, "key long, node long").withColumn("hub", F.min("node").over(Window.partitionBy("key")))
+    stars = settle(keys.where("hub <> node").select("hub", "node").distinct())
 
     def payload(nodes: DataFrame) -> DataFrame:
         own = classes.join(nodes.withColumnRenamed("node", "h"), "h").select("h", "first.doc_id", "first.tid")
@@ -170,7 +245,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         held = texts.alias("t").join(where.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.tid") == F.col("w.tid")), "left_semi").select("text")
         return settle(map_arrow(held, _line_texts, "h long, line string").join(own.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"]).withColumnRenamed("h", "node"))
 
-    links = linked(keys, payload, _links)
+    links = compared_stars(stars, payload, _links)
     groups = settle(components(links))
     # Classes that occur once and are in no group have nothing to drop.
     grouped = classes.join(groups.withColumnRenamed("node", "h"), "h", "left").join(groups.select(F.col("component").alias("h"), F.lit(True).alias("head")).distinct(), "h", "left")

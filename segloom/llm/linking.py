@@ -89,7 +89,11 @@ def linked(rows: DataFrame, payload: Callable[[DataFrame], DataFrame], links_of:
     holds more than two blocks and the hub.
     """
     hubs = rows.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
-    stars = settle(rows.join(hubs, "key").where("hub <> node").select("hub", "node").distinct())
+    return compared_stars(settle(rows.join(hubs, "key").where("hub <> node").select("hub", "node").distinct()), payload, links_of)
+
+
+def compared_stars(stars: DataFrame, payload: Callable[[DataFrame], DataFrame], links_of: Callable[[pa.Table], list[tuple[int, int]]]) -> DataFrame:
+    """Links of linked from its stars: the different hub and node of every key, hubs themselves left out; read more than once."""
     sizes = stars.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     # Hubs with more than a block are few, and only they are joined with their many nodes; the others have one block.
     placed = stars.join(sizes.where("blocks > 1"), "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
