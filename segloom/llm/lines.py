@@ -8,7 +8,7 @@ Lines under SHORT characters are keyed by all their runs of 5 to 7 characters, o
 leaves whole (pigeonhole), so none of their links is missed; under ten characters no edit is allowed. Longer lines
 are keyed by SKETCH of their runs of 8 or 12 characters, those of least hash, so that a link is missed only by chance.
 
-Lines of fewer than MIN_WORDS words are left alone: they recur by chance.
+Every line with a word takes part, however short; lines of spaces and ASCII punctuation alone count as blank.
 
 Defined cases: a null text stays null, an empty one empty; blank lines stay; rows that repeat a doc_id and text are one
 document, and each keeps its lines; null doc_ids count as one document for each text and come first; a document all of
@@ -29,8 +29,9 @@ from segloom.llm.linking import compared_stars, components, forest
 from segloom.llm.tables import aside, map_arrow, restored, settle
 from segloom.llm.words import _powers, chunks, mix, span_hashes, spans
 
-MIN_WORDS, EDIT_PERCENT = 5, 90
-#: Blocks of the fingerprints that candidates came from before; only tests/llm/test_sets.py reads them.
+EDIT_PERCENT = 90
+#: The fewest words of a line, and blocks of the fingerprints that candidates came from before; only tests/llm/test_sets.py reads them.
+MIN_WORDS = 1
 BLOCKS, BLOCK_BITS, INTACT = 4, 16, 2
 #: Least different grams kept of a line, and the characters from which on grams are chosen, and are longer.
 SKETCH, SHORT, MIDDLE = 24, 40, 110
@@ -72,11 +73,10 @@ def _line_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             line_hash = mix((total[at[1:]] - total[at[:-1]]) * back[at[:-1]] + words.astype(np.uint64))
             letters = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
             length = np.add.reduceat(letters[ends] - letters[starts], at[:-1]) + words - 1
-            keep = words >= MIN_WORDS
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([ids[lo + i] for i in text[keep]], pa.int64()), pa.array([tids[lo + i] for i in text[keep]], pa.int64()), pa.array(position[keep].astype(np.int32)),
-                    pa.array(line_hash[keep].view(np.int64)), pa.array(length[keep].astype(np.int32)),
+                    pa.array([ids[lo + i] for i in text], pa.int64()), pa.array([tids[lo + i] for i in text], pa.int64()), pa.array(position.astype(np.int32)),
+                    pa.array(line_hash.view(np.int64)), pa.array(length.astype(np.int32)),
                 ],
                 names=["doc_id", "tid", "pos", "h", "length"],
             )
@@ -95,10 +95,9 @@ def _line_texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(len(h) + 1, np.uint64)
             np.cumsum(h * fwd[: len(h)], out=total[1:])
             line_hash = mix((total[at[1:]] - total[at[:-1]]) * back[at[:-1]] + np.diff(at).astype(np.uint64))
-            keep = np.flatnonzero(np.diff(at) >= MIN_WORDS)
             data = raw.tobytes()
-            lines = [" ".join(data[starts[at[k]] : ends[at[k + 1] - 1]].decode("utf-8", "surrogatepass").split()) for k in keep]
-            yield pa.RecordBatch.from_arrays([pa.array(line_hash[keep].view(np.int64)), pa.array(lines, pa.string())], names=["h", "line"])
+            lines = [" ".join(data[starts[at[k]] : ends[at[k + 1] - 1]].decode("utf-8", "surrogatepass").split()) for k in range(len(at) - 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(line_hash.view(np.int64)), pa.array(lines, pa.string())], names=["h", "line"])
 
 
 def _least(h: np.ndarray, opens: np.ndarray, sizes: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
