@@ -488,7 +488,7 @@ def token_distribution(spark, sf_dir):
     words = F.split(F.trim(T.trimmed(F.col("text"))), " +")
     widths = F.transform(words, lambda w: F.length(w) * 0.5)
     spans = F.when(F.col("pos") % 2 == 0, F.array(F.lit(40.0), F.lit(60.0))).otherwise(F.array(F.lit(30.0), F.lit(30.0), F.lit(40.0)))
-    rows = lines(spark, sf_dir).where(F.length(T.trimmed(F.col("text"))) > 0).where(F.size(words) <= 40)
+    rows = lines(spark, sf_dir).where(F.length(T.trimmed(F.col("text"))) > 0)
     return L.distributed(rows.select("id", widths.alias("widths"), F.lit(0.25).alias("space"), spans.alias("spans"))).select("id", "counts")
 
 
