@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from segloom.functions import text as T
 from segloom.operators import layout as L
-from segloom.plans.inputs import lines
+from segloom.plans.inputs import lines, regions
 from segloom.plans.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -37,3 +37,10 @@ def test_many_tokens_are_dealt_as_by_plain_loops():
         cuts = tuple(sum(got[:k]) for k in range(len(spans) + 1))
         assert error[cuts] == pytest.approx(min(error.values()))
     assert sum(L.dealt_tokens([2.5] * 20_000, 0.25, [30.0, 30.0, 40.0])) == 20_000
+
+
+@here
+def test_vision_regions_has_every_image(spark):
+    every = regions(spark, DATA).select(F.col("image_id").cast("string").alias("image_id")).distinct()
+    got = QUERIES["vision_regions"](spark, DATA).select("image_id").distinct()
+    assert sorted(r.image_id for r in got.collect()) == sorted(r.image_id for r in every.collect())
