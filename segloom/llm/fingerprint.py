@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from segloom.llm.linking import components, forest, linked
+from segloom.llm.linking import components, linked
 from segloom.llm.simhash import block_keys, signs, votes, word_terms
 from segloom.llm.tables import map_arrow, settle
 from segloom.llm.words import chunks, mix, span_hashes, spans
@@ -145,15 +145,18 @@ def _key_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(nodes)], names=["key", "node"])
 
 
-def _links(group: pa.Table) -> list[tuple[int, int]]:
-    words = _words(group.column("fingerprint").to_pylist())
+class Prints:
+    """Decides by the bits that differ."""
 
-    def near(y: int) -> np.ndarray:
-        within = np.bitwise_count(words ^ words[y]).sum(axis=1) <= RADIUS
-        within[y] = False
-        return np.flatnonzero(within)
+    def __init__(self, rows: pa.Table):
+        self.words = _words(rows.column("fingerprint").to_pylist())
 
-    return forest(len(words), near, lambda y, others: np.ones(len(others), bool))
+    def far(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        off = differing(self.words[a], self.words[b])
+        return np.where(off <= RADIUS, off.astype(float), np.inf)
+
+    def holds(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.ones(len(a), bool)
 
 
 def _words(prints: list[str]) -> np.ndarray:
@@ -167,6 +170,6 @@ def near_classes(prints: DataFrame) -> DataFrame:
     """
     equal = settle(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("node")).where("node is not null"))
     rows = map_arrow(equal.select("node", "fingerprint"), _key_rows, "key long, node long")
-    groups = components(linked(rows, lambda nodes: equal.join(nodes, "node", "left_semi"), _links))
+    groups = components(linked(rows, lambda nodes: equal.join(nodes, "node", "left_semi"), Prints))
     near = equal.join(groups, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("near_class"))
     return prints.join(near, "fingerprint", "left").select(*prints.columns, F.coalesce("near_class", "doc_id").alias("near_class"))

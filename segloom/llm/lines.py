@@ -1,41 +1,49 @@
 """Fuzzy line deduplication: one occurrence of each group of lines that are equal or nearly so stays.
 
 Lines are normalised (lower case, punctuation as spaces, digits as 0, single spaces). Equal normalised lines are one
-class from the start. Classes that share a run of characters at nearly the same place are candidates, and are linked
-when their edit similarity is 90 % or more. Of each connected group the first occurrence stays, by doc_id and position.
+class from the start. Classes that share a key are candidates; candidates whose SimHash fingerprints differ in more than
+RADIUS bits go, the others are linked when their edit similarity is 90 % or more. Of each connected group the first
+occurrence stays, by doc_id and position.
 
-Lines under SHORT characters are keyed by all their runs of 5 to 7 characters, one of which any allowed number of edits
-leaves whole (pigeonhole), so none of their links is missed; under ten characters no edit is allowed. Longer lines
-are keyed by SKETCH of their runs of 8 or 12 characters, those of least hash, so that a link is missed only by chance.
+Keys are runs of characters at nearly the same place, by the pigeonhole principle over the line itself: blocks of the
+fingerprint would miss most links, since a tenth of edits changes a third of its bits. Lines under SHORT
+characters are keyed by all their runs of 5 to 7 characters, one of which any allowed number of edits leaves whole, so
+none of their links is missed; under ten characters no edit is allowed. Longer lines are keyed by 24 or 40 of their runs
+of 8, 12 or 16 characters (CHOSEN), those of least hash, so that a link is missed only by chance; so it is by
+fingerprints, which are heeded from SHORT characters on.
 
 Every line with a word takes part, however short; lines of spaces and ASCII punctuation alone count as blank.
 
 Defined cases: a null text stays null, an empty one empty; blank lines stay; rows that repeat a doc_id and text are one
 document, and each keeps its lines; null doc_ids count as one document for each text and come first; a document all of
 whose lines with words went is left with what remains and marked emptied; other columns stay as they are, n_chars follows the
-text where there is one; an empty table gives an empty result.
+text where there is one; a text of any number of lines, and a line of any length, is taken whole; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructType
 
-from segloom.llm.linking import compared_stars, components, forest
-from segloom.llm.tables import aside, map_arrow, restored, settle
-from segloom.llm.words import _powers, chunks, mix, span_hashes, spans
+from segloom.llm.linking import BLOCK, _chunks, compared_stars, components
+from segloom.llm.tables import aside, forget, map_arrow, restored, settle
+from segloom.llm.words import chunks, mix
 
 EDIT_PERCENT = 90
-#: The fewest words of a line, and blocks of the fingerprints that candidates came from before; only tests/llm/test_sets.py reads them.
-MIN_WORDS = 1
-BLOCKS, BLOCK_BITS, INTACT = 4, 16, 2
-#: Least different grams kept of a line, and the characters from which on grams are chosen, and are longer.
-SKETCH, SHORT, MIDDLE = 24, 40, 110
+#: From so many characters on, runs are chosen; their length, for lines from how many characters to below how many, and how many are kept.
+SHORT = 40
+CHOSEN = ((8, 36, 110, 24), (12, 99, 250, 24), (16, 225, 1 << 62, 40))
+#: Bits of a line's fingerprint, over runs of GRAM characters, and how many may differ: 1 in 200 pairs at 90 % has more.
+PRINT_BITS, GRAM, RADIUS = 256, 5, 92
 _GRAM = np.uint64(0xD6E8FEB86659FD93)
+_VOTES = (np.random.default_rng(23).integers(0, 2, (256, PRINT_BITS)) * 2 - 1).astype(np.float32)
 _ASCII = bytes(32 if c < 33 and c != 10 or 33 <= c < 48 or 58 <= c < 65 or 91 <= c < 97 or 123 <= c < 128 else 48 if 48 <= c < 58 else c for c in range(256))
 
 
@@ -43,85 +51,86 @@ def normal_bytes(text: str) -> bytes:
     return text.lower().encode("utf-8", "surrogatepass").translate(_ASCII)
 
 
-def _words_of_lines(texts: list[str | None]):
-    """Words of the normalised texts, the lines that have words, and each line's text and position in it."""
-    plain = [normal_bytes(t).decode("utf-8", "surrogatepass") if t else "" for t in texts]
-    raw, starts, ends, _ = spans(plain)
-    feeds = np.flatnonzero(raw == 10)
-    line = np.searchsorted(feeds, starts)  # line k follows feed k - 1; feed 0 opens the first text
-    own, first = np.unique(line, return_index=True)
-    at = np.append(first, len(starts))
-    sizes = np.array([len(p.encode("utf-8", "surrogatepass")) + 1 for p in plain], np.int64)
-    opens = np.concatenate([[1], 1 + np.cumsum(sizes)])
-    text = np.searchsorted(opens, starts[first], side="right") - 1
-    base = np.searchsorted(feeds, opens[:-1])
-    return raw, starts, ends, at, text, own - base[text]
+def normal_lines(text: str) -> list[bytes]:
+    """The normalised lines of a text, empty where a line has no words."""
+    return [b" ".join(x.split()) for x in normal_bytes(text).split(b"\n")]
 
 
-def _line_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, tids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        for lo, hi in chunks(texts):
-            raw, starts, ends, at, text, position = _words_of_lines(texts[lo:hi])
-            if not len(starts):
-                continue
-            h = span_hashes(raw, starts, ends)
-            fwd, back = _powers(len(h) + 1)
-            total = np.zeros(len(h) + 1, np.uint64)
-            np.cumsum(h * fwd[: len(h)], out=total[1:])
-            words = np.diff(at)
-            line_hash = mix((total[at[1:]] - total[at[:-1]]) * back[at[:-1]] + words.astype(np.uint64))
-            letters = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-            length = np.add.reduceat(letters[ends] - letters[starts], at[:-1]) + words - 1
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([ids[lo + i] for i in text], pa.int64()), pa.array([tids[lo + i] for i in text], pa.int64()), pa.array(position.astype(np.int32)),
-                    pa.array(line_hash.view(np.int64)), pa.array(length.astype(np.int32)),
-                ],
-                names=["doc_id", "tid", "pos", "h", "length"],
-            )
-
-
-def _line_texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Normalised lines by hash."""
+def line_hash(line: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(line, digest_size=8).digest(), "little", signed=True)
+
+
+def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of lines, each followed by a line feed; sizes and first places of the lines."""
+    points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    return points, sizes, np.cumsum(sizes + 1) - sizes - 1
+
+
+def line_prints(texts: list[str]) -> np.ndarray:
+    """The SimHash fingerprint of each line, as 64-bit words: its runs vote, through 256 signed buckets, on each bit."""
+    points, sizes, _ = _points(texts)
+    owner = np.repeat(np.arange(len(texts)), sizes + 1)
+    h = points.copy()
+    for i in range(1, GRAM):
+        h = h[:-1] * _GRAM + points[i:]
+    h = mix(h)
+    place = (owner[: len(h)] << 8) + (h >> np.uint64(56)).astype(np.int64)
+    counts = np.bincount(place, weights=((h >> np.uint64(55)) & np.uint64(1)) * 2.0 - 1, minlength=len(texts) << 8)
+    return np.packbits(counts.astype(np.float32).reshape(-1, 256) @ _VOTES > 0, axis=1, bitorder="little").view(np.uint64)
+
+
+def _line_rows(batches: Iterable[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Place and hash of every line with words; size and fingerprint but where the same task gave them (while few are held)."""
+    seen: set[int] = set()
     for batch in batches:
-        texts = batch.column(0).to_pylist()
-        for lo, hi in chunks(texts):
-            raw, starts, ends, at, _, _ = _words_of_lines(texts[lo:hi])
-            if not len(starts):
+        ids, tids, texts = (c.to_pylist() for c in batch.columns)
+        for lo, hi in chunks(texts, 1 << 18):
+            doc, tid, pos, hashes, fresh, lines = [], [], [], [], [], []
+            for k in range(lo, hi):
+                for place, line in enumerate(normal_lines(texts[k])):
+                    if line:
+                        h = line_hash(line)
+                        doc.append(ids[k]), tid.append(tids[k]), pos.append(place), hashes.append(h)
+                        if h not in seen:
+                            if len(seen) < most:
+                                seen.add(h)
+                            fresh.append(len(hashes) - 1)
+                            lines.append(line.decode("utf-8", "surrogatepass"))
+            if not hashes:
                 continue
-            h = span_hashes(raw, starts, ends)
-            fwd, back = _powers(len(h) + 1)
-            total = np.zeros(len(h) + 1, np.uint64)
-            np.cumsum(h * fwd[: len(h)], out=total[1:])
-            line_hash = mix((total[at[1:]] - total[at[:-1]]) * back[at[:-1]] + np.diff(at).astype(np.uint64))
-            data = raw.tobytes()
-            lines = [" ".join(data[starts[at[k]] : ends[at[k + 1] - 1]].decode("utf-8", "surrogatepass").split()) for k in range(len(at) - 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(line_hash.view(np.int64)), pa.array(lines, pa.string())], names=["h", "line"])
+            prints, sizes = [None] * len(hashes), [None] * len(hashes)
+            for at, line, words in zip(fresh, lines, line_prints(lines), strict=True):
+                prints[at], sizes[at] = words.tobytes(), len(line)
+            columns = [pa.array(doc, pa.int64()), pa.array(tid, pa.int64()), pa.array(pos, pa.int32()), pa.array(hashes, pa.int64()), pa.array(prints, pa.binary()), pa.array(sizes, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tid", "pos", "h", "print", "size"])
 
 
-def _least(h: np.ndarray, opens: np.ndarray, sizes: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The SKETCH least different hashes of the runs of q characters of each line with a size, their lines and first places."""
+def _least(h: np.ndarray, opens: np.ndarray, sizes: np.ndarray, q: int, few: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The few least different hashes of the runs of q characters of each line with a size, their lines and first places."""
 
     def least(limits: np.ndarray, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = np.flatnonzero(h <= np.repeat(limits, widths)[: len(h)])
         owner = np.searchsorted(opens, at, side="right") - 1
         inside = at - opens[owner] <= sizes[owner] - q
         at, owner = at[inside], owner[inside]
-        order = np.lexsort((at, h[at], owner))
-        at, owner = at[order], owner[order]
-        new = np.ones(len(at), bool)
-        new[1:] = (h[at[1:]] != h[at[:-1]]) | (owner[1:] != owner[:-1])
-        at, owner = at[new], owner[new]
-        few = np.arange(len(at)) - np.searchsorted(owner, owner) < SKETCH
-        return h[at[few]], owner[few], (at - opens[owner])[few]
-
-    # Three times as many as are needed are sorted; lines that repeat themselves come up short and are sorted whole.
+        # One sort by line and hash; of equal hashes in a line the first place counts.
+        bits = np.uint64(max(1, len(sizes).bit_length()))
+        both = (owner.astype(np.uint64) << (np.uint64(64) - bits)) | (h[at] >> bits)
+        order = np.argsort(both)
+        both = both[order]
+        new = np.flatnonzero(np.concatenate([both[:1] == both[:1], both[1:] != both[:-1]]))
+        at = np.minimum.reduceat(at[order], new) if len(new) else at
+        owner = owner[order][new]
+        kept = np.arange(len(at)) - np.searchsorted(owner, owner) < few
+        return h[at[kept]], owner[kept], (at - opens[owner])[kept]
+
+    # Twice as many as are needed are sorted; lines that repeat themselves come up short and are sorted whole.
     widths = np.diff(np.append(opens, len(h) + q - 1))
     counts = np.where(sizes, sizes - q + 1, 0)
-    most = np.minimum(3.0 * SKETCH / np.maximum(counts, 1), 1.0) * (2.0**64 - 2048)
+    most = np.minimum(2.0 * few / np.maximum(counts, 1), 1.0) * (2.0**64 - 2048)
     found, owner, place = least(np.where(sizes, most, 0).astype(np.uint64), widths)
-    short = np.bincount(owner, minlength=len(sizes)) < np.minimum(counts, SKETCH)
+    short = np.bincount(owner, minlength=len(sizes)) < np.minimum(counts, few)
     if short.any():
         more = least(np.where(short, 2.0**64 - 2048, 0).astype(np.uint64), widths)
         whole, also = ~short[owner], short[more[1]]
@@ -131,11 +140,9 @@ def _least(h: np.ndarray, opens: np.ndarray, sizes: np.ndarray, q: int) -> tuple
 
 def line_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Keys of normalised lines, and the line of each: lines of 90 % edit similarity share one (see the module's text)."""
-    points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    sizes = np.array([len(t) for t in texts], np.int64)
-    opens = np.cumsum(sizes + 1) - sizes - 1
+    points, sizes, opens = _points(texts)
     keys, lines, h, width = [], [], np.zeros(len(points) + 1, np.uint64), 0
-    for q in (5, 6, 7, 8, 12):
+    for q in (5, 6, 7, *(x[0] for x in CHOSEN)):
         for width in range(width + 1, q + 1):  # noqa: B020
             h = h[:-1] * _GRAM + points[width - 1 :] if len(h) > 1 else h[:0]
         if q < 8:
@@ -150,8 +157,8 @@ def line_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
                 keys.append(mix(found + _GRAM * (c + np.uint64(1))))
                 lines.append(owner)
             continue
-        low, high = (SHORT * 9 // 10, MIDDLE) if q == 8 else (MIDDLE * 9 // 10, 1 << 62)
-        found, owner, place = _least(mix(h + np.uint64(q)), opens, np.where((sizes >= low) & (sizes < high), sizes, 0), q)
+        low, high, few = next(x[1:] for x in CHOSEN if x[0] == q)
+        found, owner, place = _least(mix(h + np.uint64(q)), opens, np.where((sizes >= low) & (sizes < high), sizes, 0), q, few)
         # Each hash draws its own borders of lengths and of places, so that no pair lies across all of them.
         band = np.floor(np.log(sizes[owner]) / np.log(1.25) + (mix(found ^ _GRAM) >> np.uint64(11)) / 2.0**53)
         cell = np.floor(place / (0.2 * 1.25**band) + (mix(found + _GRAM) >> np.uint64(11)) / 2.0**53)
@@ -160,26 +167,110 @@ def line_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(lines)
 
 
-def _key_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys of lines by hash; a line that comes again in the same task is left out while few are held."""
+def _new_lines(batches: Iterable[pa.RecordBatch], most: int = 1 << 18) -> Iterator[tuple[list[int], list[str]]]:
+    """Hashes and normalised lines, some at once; a line that comes again in the same task is left out while few are held."""
     seen: set[int] = set()
-    for batch in _line_texts(batches):
-        held = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-        new = [h for h in held if h not in seen]
-        if len(seen) < 1 << 18:
-            seen.update(new)
-        if not new:
-            continue
-        keys, of = line_keys([held[h] for h in new])
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.array(new, np.int64)[of])], names=["key", "node"])
+    hashes, lines, size = [], [], 0
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            for line in normal_lines(text):
+                h = line_hash(line) if line else None
+                if h is None or h in seen:
+                    continue
+                if len(seen) < most:
+                    seen.add(h)
+                hashes.append(h)
+                lines.append(line.decode("utf-8", "surrogatepass"))
+                size += len(line) + 1
+                if size >= 1 << 17:
+                    yield hashes, lines
+                    hashes, lines, size = [], [], 0
+    if hashes:
+        yield hashes, lines
+
+
+def _key_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of lines by hash."""
+    for hashes, lines in _new_lines(batches):
+        keys, of = line_keys(lines)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.array(hashes, np.int64)[of])], names=["key", "node"])
+
+
+def _wanted_lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines at given places of texts, by hash."""
+    for batch in batches:
+        for text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found = normal_lines(text)
+            lines = [found[k] for k in places]
+            yield pa.RecordBatch.from_arrays([pa.array([line_hash(x) for x in lines], pa.int64()), pa.array([x.decode("utf-8", "surrogatepass") for x in lines], pa.string())], names=["node", "line"])
+
+
+def _plausible(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars of the rows of a hub that near fingerprints connect; rows that are near to no other go."""
+    for table, cuts in _chunks(batches, ["hub"]):
+        node, size = table.column("node").to_numpy(), table.column("size").to_numpy()
+        words = np.frombuffer(b"".join(table.column("print").to_pylist()), np.uint64).reshape(table.num_rows, -1)
+
+        def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])  # noqa: B023
+            return ((small < SHORT) | (np.bitwise_count(words[a] ^ words[b]).sum(axis=-1) <= RADIUS)) & (large - small <= large * (100 - EDIT_PERCENT) // 100)  # noqa: B023
+
+        sizes = np.diff(cuts)
+        twos = cuts[:-1][sizes == 2]
+        twos = twos[near(twos, twos + 1)]
+        hubs, nodes = [node[twos]], [node[twos + 1]]
+        for lo, hi in zip(cuts[:-1][sizes > 2], cuts[1:][sizes > 2], strict=True):
+            own = np.arange(lo, hi)
+            close = np.concatenate([near(own[k : k + 64, None], own[None]) for k in range(0, len(own), 64)])
+            close[np.arange(len(own)), np.arange(len(own))] = False
+            left = close.any(axis=1)
+            while left.any():
+                # All that chains of near fingerprints reach from the first row that is left.
+                ahead = reached = np.flatnonzero(left)[:1]
+                while len(ahead):
+                    left[ahead] = False
+                    ahead = np.flatnonzero(close[ahead].any(axis=0) & left)
+                    reached = np.concatenate([reached, ahead])
+                some = np.sort(node[lo + reached])
+                hubs.append(np.full(len(some) - 1, some[0]))
+                nodes.append(some[1:])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hubs)), pa.array(np.concatenate(nodes))], names=["hub", "node"])
+
+
+def _most(a: int, b: int) -> int:
+    return max(a, b) * (100 - EDIT_PERCENT) // 100
 
 
 def within(a: str, b: str, most: int) -> bool:
-    """Whether the edit distance is most at most, by bit vectors: one step for each character of b."""
+    """Whether the edit distance is most at most, by bit vectors: one step for each character of b.
+
+    What both begin and end with is left out first, and only the diagonals that most allows are kept.
+    """
+    if a == b:
+        return True
+    lo, top = 0, min(len(a), len(b))
+    for back in (False, True):
+        # The longest common beginning, then end, by bisection over slices.
+        lo, hi = 0, top
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            same = a[len(a) - mid :] == b[len(b) - mid :] if back else a[:mid] == b[:mid]
+            lo, hi = (mid, hi) if same else (lo, mid - 1)
+        a, b = (a[: len(a) - lo], b[: len(b) - lo]) if back else (a[lo:], b[lo:])
+        top = min(len(a), len(b))
     if len(a) < len(b):
         a, b = b, a
+    if len(a) <= most:
+        return True
+    if len(a) - len(b) > most:
+        return False
     if not b:
         return len(a) <= most
+    return _banded(a, b, most)
+
+
+def _banded(a: str, b: str, most: int) -> bool:
+    """Edit distance within most by bit vectors; a is the longer one. Bits stand for rows of a near the diagonal."""
     peq: dict[str, int] = {}
     for i, c in enumerate(a):
         peq[c] = peq.get(c, 0) | 1 << i
@@ -201,29 +292,60 @@ def within(a: str, b: str, most: int) -> bool:
     return distance <= most
 
 
-def _links(group: pa.Table) -> list[tuple[int, int]]:
-    texts = group.column("line").to_pylist()
-    sizes = np.array([len(t) for t in texts])
-    # No edit changes the counts of characters by more than two in all, nor those of neighbouring pairs by more than four.
-    chars, pairs = np.zeros((len(texts), 64), np.int32), np.zeros((len(texts), 256), np.int32)
-    for i, t in enumerate(texts):
-        points = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        chars[i] = np.bincount(points & 63, minlength=64)
-        pairs[i] = np.bincount(points[:-1] * 31 + points[1:] * 7 & 255, minlength=256)
-
-    def near(y: int) -> np.ndarray:
-        longest = np.maximum(sizes, sizes[y])
-        most = longest * (100 - EDIT_PERCENT) // 100
-        found = np.flatnonzero(longest - np.minimum(sizes, sizes[y]) <= most)
-        found = found[(found != y) & (np.abs(chars[found] - chars[y]).sum(axis=1) <= 2 * most[found])]
-        off = np.abs(pairs[found] - pairs[y]).sum(axis=1)
-        fits = off <= 4 * most[found]
-        return found[fits][np.argsort(off[fits], kind="stable")]
-
-    def holds(y: int, others: np.ndarray) -> np.ndarray:
-        return np.array([within(texts[y], texts[x], max(sizes[y], sizes[x]) * (100 - EDIT_PERCENT) // 100) for x in others], bool)
-
-    return forest(len(texts), near, holds)
+class Lines:
+    """Decides by edit distance; lines whose fingerprints or sizes are too far apart aren't looked at."""
+
+    def __init__(self, rows: pa.Table):
+        self.rows, self.runs = rows.column("line").combine_chunks(), {}
+        self.size = rows.column("size").to_numpy()
+        self.words = np.frombuffer(b"".join(rows.column("print").to_pylist()), np.uint64).reshape(rows.num_rows, PRINT_BITS // 64)
+
+    def far(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        off = np.bitwise_count(self.words[a] ^ self.words[b]).sum(axis=1)
+        small, large = np.minimum(self.size[a], self.size[b]), np.maximum(self.size[a], self.size[b])
+        may = ((small < SHORT) | (off <= RADIUS)) & (large - small <= large * (100 - EDIT_PERCENT) // 100)
+        return np.where(may, off.astype(float), np.inf)
+
+    def _runs(self, row: int) -> tuple[str, np.ndarray]:
+        """A line and its different runs of GRAM characters."""
+        if row not in self.runs:
+            text = self.rows[row].as_py()
+            points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            h = points[: max(0, len(points) - GRAM + 1)]
+            for i in range(1, GRAM):
+                h = h * _GRAM + points[i : i + len(h)]
+            h = np.sort(h)
+            self.runs[row] = text, h[np.concatenate([h[:1] == h[:1], h[1:] != h[:-1]])]
+        return self.runs[row]
+
+    def holds(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(a), bool)
+        for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            (one, own), (two, other) = self._runs(x), self._runs(y)
+            most = _most(len(one), len(two))
+            # Each edit takes GRAM runs from a line at most.
+            common = int((own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other).sum()) if len(own) and len(other) else 0
+            out[k] = common >= max(len(own), len(other)) - GRAM * most and within(one, two, most)
+        return out
+
+
+def _without(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their text's lines at lines_gone left out, and what became of them."""
+    for batch in batches:
+        at = batch.schema.get_field_index("text")
+        left, every, dropped, emptied = [], [], [], []
+        for text, gone in zip(batch.column(at), batch.column(batch.schema.get_field_index("lines_gone")), strict=True):
+            text, out = text.as_py(), set(gone.as_py() or ())
+            lines = text.split("\n") if text is not None else []
+            if out:
+                text = "\n".join([x for k, x in enumerate(lines) if k not in out])
+            left.append(text)
+            every.append(len(lines))
+            dropped.append(len(out))
+            emptied.append(bool(out) and not text.strip())
+        columns = batch.columns
+        columns[at] = pa.array(left, batch.schema.field(at).type)
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(every, pa.int32()), pa.array(dropped, pa.int32()), pa.array(emptied, pa.bool_())], names=[*batch.schema.names, "lines_all", "lines_dropped", "emptied"])
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -232,34 +354,47 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     docs, names = aside(docs, ("doc_id", "text", "n_chars"))
     base = docs.withColumn("lines_tid", F.xxhash64("text"))
     texts = base.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lines_tid").alias("tid"), "text")
-    rows = settle(map_arrow(texts, _line_rows, "doc_id long, tid long, pos int, h long, length int"))
-    classes = settle(rows.groupBy("h").agg(F.min(F.struct("doc_id", "tid", "pos")).alias("first"), F.count("*").alias("n"), F.min("length").alias("length")))
+    rows = settle(map_arrow(texts, _line_rows, "doc_id long, tid long, pos int, h long, print binary, size int"))
+    classes = rows.groupBy("h").agg(F.min(F.struct("doc_id", "tid", "pos")).alias("first"), F.count("*").alias("n"), F.first("print", True).alias("print"), F.first("size", True).alias("size"))
+    classes = settle(classes)
     # One shuffle of the keys: they are many, and few are shared.
     keys = map_arrow(texts.select("text"), _key_rows, "key long, node long").withColumn("hub", F.min("node").over(Window.partitionBy("key")))
-    stars = settle(keys.where("hub <> node").select("hub", "node").distinct())
+    every = settle(keys.where("hub <> node").select("hub", "node").distinct())
+    stars = settle(_near_stars(every, classes.select(F.col("h").alias("node"), "print", "size")))
+    forget(every)
 
     def payload(nodes: DataFrame) -> DataFrame:
-        own = classes.join(nodes.withColumnRenamed("node", "h"), "h").select("h", "first.doc_id", "first.tid")
-        where = own.select("doc_id", "tid").distinct()
-        held = texts.alias("t").join(where.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.tid") == F.col("w.tid")), "left_semi").select("text")
-        return settle(map_arrow(held, _line_texts, "h long, line string").join(own.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"]).withColumnRenamed("h", "node"))
+        own = classes.join(nodes.withColumnRenamed("node", "h"), "h").select("first.doc_id", "first.tid", "first.pos")
+        places = own.groupBy("doc_id", "tid").agg(F.collect_set("pos").alias("places"))
+        held = texts.alias("t").join(places.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.tid") == F.col("w.tid"))).select("text", "places")
+        lines = map_arrow(held, _wanted_lines, "node long, line string").dropDuplicates(["node"])
+        return settle(lines.join(classes.select(F.col("h").alias("node"), "print", "size"), "node"))
 
-    links = compared_stars(stars, payload, _links)
+    links = compared_stars(stars, payload, Lines)
     groups = settle(components(links))
     # Classes that occur once and are in no group have nothing to drop.
     grouped = classes.join(groups.withColumnRenamed("node", "h"), "h", "left").join(groups.select(F.col("component").alias("h"), F.lit(True).alias("head")).distinct(), "h", "left")
     many = settle(grouped.where("n > 1 or component is not null or head").select("h", F.coalesce("component", "h").alias("component"), "first"))
     kept = many.groupBy("component").agg(F.min("first").alias("kept"))
     repeated = many.join(kept, "component").select("h", "kept")
-    gone = rows.join(repeated, "h").where(~F.struct("doc_id", "tid", "pos").eqNullSafe(F.col("kept")))
-    gone = gone.groupBy("doc_id", "tid").agg(F.collect_set("pos").alias("lines_gone")).select(F.col("doc_id").alias("lines_doc"), F.col("tid").alias("lines_of"), "lines_gone")
-    out = base.join(gone, (F.col("doc_id").cast("long").eqNullSafe(F.col("lines_doc"))) & (F.col("lines_tid") == F.col("lines_of")), "left")
-    left = F.when(F.col("lines_gone").isNull(), F.col("text")).otherwise(F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> not array_contains(lines_gone, i)), '\\n')"))
-    out = out.withColumn("lines_text", left)
-    dropped = F.when(F.col("lines_gone").isNull(), F.lit(0)).otherwise(F.size("lines_gone"))
-    emptied = (dropped > 0) & ~F.col("lines_text").rlike(r"\S")
-    out = out.withColumns({"lines_all": F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)), "lines_dropped": dropped, "emptied": emptied})
-    out = out.withColumn("text", F.col("lines_text"))
+    gone = rows.select("doc_id", "tid", "pos", "h").join(repeated, "h").where(~F.struct("doc_id", "tid", "pos").eqNullSafe(F.col("kept")))
+    gone = settle(gone.groupBy("doc_id", "tid").agg(F.collect_set("pos").alias("lines_gone")).select(F.col("doc_id").alias("lines_doc"), F.col("tid").alias("lines_of"), "lines_gone"))
+    forget(rows, classes, stars, groups, many)
+    found = base.join(gone, (F.col("doc_id").cast("long").eqNullSafe(F.col("lines_doc"))) & (F.col("lines_tid") == F.col("lines_of")), "left").drop("lines_doc", "lines_of", "lines_tid")
+    more = StructType(list(found.schema)).add("lines_all", IntegerType()).add("lines_dropped", IntegerType()).add("emptied", BooleanType())
+    out = map_arrow(found, _without, more).drop("lines_gone")
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("lines_text").cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return restored(out, columns, names, "lines_all", "lines_dropped", "emptied")
+
+
+def _near_stars(stars: DataFrame, prints: DataFrame) -> DataFrame:
+    """Stars without the nodes whose fingerprints are near to none with the same hub. stars: hub, node; prints: node, print, size.
+
+    Hubs of more than a block keep all their nodes: their blocks are compared with each other.
+    """
+    large = stars.groupBy("hub").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("hub")
+    few = stars.join(large, "hub", "left_anti")
+    members = few.unionByName(few.select("hub", F.col("hub").alias("node")).distinct()).join(prints, "node")
+    near = map_arrow(members.repartition("hub").sortWithinPartitions("hub", "node"), _plausible, "hub long, node long").where("hub <> node")
+    return near.unionByName(stars.join(large, "hub", "left_semi")).distinct()

@@ -7,18 +7,34 @@ which joins most of a group, then only rows of different groups. What comes out
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segloom.llm.tables import map_arrow, settle
+from segloom.llm.tables import forget, map_arrow, settle
 
 #: Rounds after which groups must have come to rest; each at least halves a chain.
 ROUNDS = 60
 #: Nodes of a hub that are compared in one go.
 BLOCK = 1024
+#: Rows, and bytes, of whole groups that are prepared at once; groups of up to so many rows have all pairs looked at in one go.
+_ROWS, _BYTES, _SQUARE = 4096, 1 << 25, 48
+_PAIRS = [np.triu_indices(n, 1) for n in range(_SQUARE + 1)]
+
+
+class Matcher(Protocol):
+    """What decides about links between the rows of one table."""
+
+    def far(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How far rows a[i] and b[i] seem apart; infinite where they can't be linked."""
+        ...
+
+    def holds(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether rows a[i] and b[i] are linked."""
+        ...
 
 
 def _sum(edges: DataFrame) -> tuple:
@@ -26,14 +42,15 @@ def _sum(edges: DataFrame) -> tuple:
     return r["n"], r["s"]
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """node and component, the smallest node that it reaches, for nodes that are not their own component.
 
     edges: a, b. Alternating stars: neighbours above a node move to its smallest neighbour, then all below it do.
+    Raises where rounds don't suffice.
     """
     edges = settle(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
     before = _sum(edges)
-    for _ in range(ROUNDS):
+    for _ in range(rounds):
         if not before[0]:
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -41,90 +58,180 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = settle(small)
+        old, edges = edges, settle(small)
+        forget(old)
         now = _sum(edges)
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"groups did not come to rest in {rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def forest(n: int, near: Callable[[int], np.ndarray], holds: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
-    """Links that connect rows 0 to n - 1 as all links among them would.
+def forest(rows: np.ndarray, match: Matcher) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links that connect some rows as all links among them would, and which rows those of the first one are not connected with.
 
-    near: rows that may be linked to a row, the likeliest first. holds: which of some rows are. Row 0 is tried with all
-    first; the others only across the groups that are left.
+    The first row is tried with all others first; these only across the groups that are left.
     """
-    group, links = np.arange(n), []
-
-    def link(y: int, x: int) -> None:
-        links.append((y, x))
-        group[group == group[x]] = group[y]
-
-    some = near(0)
-    for x in some[holds(0, some)]:
-        link(0, int(x))
-    alone = group != 0
-    for y in np.flatnonzero(alone):
-        some = near(int(y))
-        some = some[(some > 0) & (~alone[some] | (some > y))]
+    n, links = len(rows), []
+    group = np.arange(n)
+
+    def tried(y: int, some: np.ndarray) -> None:
+        far = match.far(np.full(len(some), rows[y]), rows[some])
+        some = some[np.argsort(far, kind="stable")[: np.isfinite(far).sum()]]
         for at in range(0, len(some), 64):
             few = some[at : at + 64]
             few = few[group[few] != group[y]]
             if len(few):
-                for x in few[holds(int(y), few)]:
+                for x in few[match.holds(np.full(len(few), rows[y]), rows[few])]:
                     if group[x] != group[y]:
-                        link(int(y), int(x))
+                        links.append((int(rows[y]), int(rows[x])))
+                        group[group == group[x]] = group[y]
+
+    if n <= _SQUARE:
+        i, j = _PAIRS[n]
+        far = match.far(rows[i], rows[j])
+        may = np.flatnonzero(np.isfinite(far))
+        for p in may[np.lexsort((far[may], i[may] > 0))]:
+            if group[i[p]] != group[j[p]] and match.holds(rows[i[p : p + 1]], rows[j[p : p + 1]])[0]:
+                links.append((int(rows[i[p]]), int(rows[j[p]])))
+                group[group == group[j[p]]] = group[i[p]]
+    else:
+        tried(0, np.arange(1, n))
+        alone = group != 0
+        for y in np.flatnonzero(alone):
+            tried(int(y), np.flatnonzero((np.arange(n) > 0) & (~alone | (np.arange(n) > y))))
+    return links, group != group[0]
+
+
+def across(rest: np.ndarray, others: np.ndarray, later: np.ndarray, match: Matcher) -> list[tuple[int, int]]:
+    """Links from the rows rest, that no hub has, to others; later: others that are in a rest themselves, with their place."""
+    links = []
+    for y in rest:
+        far = match.far(np.full(len(others), y), others)
+        may = np.flatnonzero(np.isfinite(far))
+        joined = False
+        for x in may[np.argsort(far[may], kind="stable")]:
+            # The others but later are all linked with the hub: one of them is enough.
+            if not (joined and not later[x]) and match.holds(np.array([y]), others[x : x + 1])[0]:
+                links.append((int(y), int(others[x])))
+                joined |= not later[x]
     return links
 
 
-def linked(rows: DataFrame, payload: Callable[[DataFrame], DataFrame], links_of: Callable[[pa.Table], list[tuple[int, int]]]) -> DataFrame:
+def linked(rows: DataFrame, payload: Callable[[DataFrame], DataFrame], matcher: Callable[[pa.Table], Matcher]) -> DataFrame:
     """Links (a, b) that connect what all links between rows of a common key would connect.
 
-    rows: key, node; read twice. payload: from a table of nodes, theirs: node and what links_of needs. links_of: from
-    the payload of some nodes in order, links between their positions (see forest).
+    rows: key, node; read twice. payload: from a table of nodes, theirs: node and what the matcher needs. matcher: from
+    the payload of some nodes, what decides about links between them.
 
     A key's smallest node is its hub, and nodes with a common hub are compared together: whoever shares a key shares
-    its hub. Beyond BLOCK nodes a hub's nodes are dealt into blocks, and every two blocks are compared, so that no task
-    holds more than two blocks and the hub.
+    its hub. Beyond BLOCK nodes a hub's nodes are dealt into blocks, each of which gets the hub; only nodes that the hub
+    does not reach in their block are then compared with the other blocks, so that no task holds more than two blocks and
+    what is copied grows with those nodes alone.
     """
     hubs = rows.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
-    return compared_stars(settle(rows.join(hubs, "key").where("hub <> node").select("hub", "node").distinct()), payload, links_of)
+    stars = settle(rows.join(hubs, "key").where("hub <> node").select("hub", "node").distinct())
+    found = compared_stars(stars, payload, matcher)
+    forget(stars)
+    return found
 
 
-def compared_stars(stars: DataFrame, payload: Callable[[DataFrame], DataFrame], links_of: Callable[[pa.Table], list[tuple[int, int]]]) -> DataFrame:
-    """Links of linked from its stars: the different hub and node of every key, hubs themselves left out; read more than once."""
-    sizes = stars.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    # Hubs with more than a block are few, and only they are joined with their many nodes; the others have one block.
-    placed = stars.join(sizes.where("blocks > 1"), "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node")
-    every = sizes.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("j", F.explode(F.sequence("i", F.col("blocks") - 1)))
-    placed = placed.unionByName(every.select("hub", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("hub").alias("node")))
-    nodes = stars.select("node").unionByName(stars.select(F.col("hub").alias("node"))).distinct()
-    full = placed.join(payload(nodes), "node").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "node")
+def _blocks(stars: DataFrame) -> DataFrame:
+    return stars.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+
 
-    def compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, ["hub", "i", "j"]):
-            node = group.column("node").to_numpy()
-            found = np.array(links_of(group), np.int64).reshape(-1, 2)
-            if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(node[found[:, 0]]), pa.array(node[found[:, 1]])], names=["a", "b"])
+def _own(blocks) -> F.Column:
+    return F.pmod(F.xxhash64("node"), blocks).cast("int")
 
-    return settle(map_arrow(full, compared, "a long, b long").distinct())
 
+def compared_stars(stars: DataFrame, payload: Callable[[DataFrame], DataFrame], matcher: Callable[[pa.Table], Matcher]) -> DataFrame:
+    """Links of linked from its stars: the different hub and node of every key, hubs themselves left out; read more than once."""
+    sizes = _blocks(stars)
+    # Hubs with more than a block are few, and only they are joined with their many nodes; the others have one block.
+    placed = stars.join(sizes.where("blocks > 1"), "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.select("hub", _own(F.col("blocks")).alias("i"), (F.col("blocks") > 1).alias("more"), "node")
+    every = sizes.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), (F.col("blocks") > 1).alias("more"), F.col("hub").alias("node"))
+    nodes = stars.select("node").unionByName(stars.select(F.col("hub").alias("node"))).distinct()
+    held = payload(nodes)
+    full = placed.unionByName(every).join(held, "node").repartition("hub", "i").sortWithinPartitions("hub", "i", "node")
+
+    def first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cuts in _chunks(batches, ["hub", "i"]):
+            node, hub, more = (table.column(c).to_numpy() for c in ("node", "hub", "more"))
+            match = matcher(table)
+            sizes = np.diff(cuts)
+            twos = cuts[:-1][(sizes == 2) & ~more[cuts[:-1]]]
+            links, rest = _pairs(twos, match), []
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if hi - lo > 2 or more[lo]:
+                    some, alone = forest(np.arange(lo, hi), match)
+                    links += some
+                    if more[lo]:
+                        rest += (lo + np.flatnonzero(alone)).tolist()
+            a, b = np.array(links, np.int64).reshape(-1, 2).T
+            rest = np.array(rest, np.int64)
+            none = pa.nulls(len(a), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), none], names=["a", "b", "hub"])
+            yield pa.RecordBatch.from_arrays([pa.array(node[rest]), pa.nulls(len(rest), pa.int64()), pa.array(hub[rest])], names=["a", "b", "hub"])
+
+    found = settle(map_arrow(full, first, "a long, b long, hub long"))
+    links = found.where("hub is null and a <> b").select("a", "b")
+    rest = found.where("hub is not null").select("hub", F.col("a").alias("node")).distinct()
+    if rest.isEmpty():
+        return settle(links.distinct())
+    parts = rest.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).join(sizes, "hub")
+    asking = rest.join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int"))
+    others = stars.join(parts, "hub").withColumn("block", _own(F.col("blocks"))).join(rest.withColumn("later", F.lit(True)), ["hub", "node"], "left")
+    left = asking.select("hub", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", F.lit(True).alias("asks"), F.lit(True).alias("later"))
+    right = others.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "block", "node", F.lit(False).alias("asks"), F.coalesce("later", F.lit(False)).alias("later"))
+    full = left.unionByName(right).join(held, "node").repartition("hub", "part", "block").sortWithinPartitions("hub", "part", "block", "node")
+
+    def second(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cuts in _chunks(batches, ["hub", "part", "block"]):
+            node, asks, later = (table.column(c).to_numpy() for c in ("node", "asks", "later"))
+            match, links = matcher(table), []
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                own = np.arange(lo, hi)
+                other = own[~asks[lo:hi]]
+                links += across(own[asks[lo:hi]], other, later[other], match)
+            a, b = np.array(links, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+
+    return settle(links.unionByName(map_arrow(full, second, "a long, b long").where("a <> b")).distinct())
+
+
+def _pairs(twos: np.ndarray, match: Matcher) -> list[tuple[int, int]]:
+    """Links of groups of two rows, given their first ones, all at once."""
+    may = twos[np.isfinite(match.far(twos, twos + 1))] if len(twos) else twos
+    return [(int(x), int(x) + 1) for x in may[match.holds(may, may + 1)]] if len(may) else []
+
+
+def _chunks(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups of consecutive rows with the same keys, and where the groups begin, and end."""
+    held: list[pa.RecordBatch] = []
+    rows = size = 0
+
+    def cut(last: bool) -> Iterator[tuple[pa.Table, np.ndarray]]:
+        nonlocal held, rows, size
+        table = pa.Table.from_batches(held).combine_chunks()
+        columns = [table.column(k).to_numpy() for k in keys]
+        starts = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)]))
+        done = table.num_rows if last else int(starts[-1])
+        if done:
+            yield table.slice(0, done), np.append(starts[starts < done], done)
+        held = table.slice(done).to_batches()
+        rows, size = table.num_rows - done, 0
 
-def _groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Consecutive rows with the same keys."""
-    held, of = [], None
     for batch in batches:
-        values = np.stack([batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]).T
-        starts = np.flatnonzero(np.concatenate([[True], (values[1:] != values[:-1]).any(axis=1)])) if len(values) else np.zeros(0, np.int64)
-        for lo, hi in zip(starts, np.append(starts[1:], len(values)), strict=True):
-            key = tuple(values[lo])
-            if key != of and held:
-                yield pa.Table.from_batches(held)
-                held = []
-            of = key
-            held.append(batch.slice(lo, hi - lo))
-    if held:
-        yield pa.Table.from_batches(held)
+        step = max(1, min(_ROWS, batch.num_rows * _BYTES // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            piece = batch.slice(at, step)
+            held.append(piece)
+            rows += piece.num_rows
+            size += batch.nbytes * piece.num_rows // batch.num_rows
+            if rows >= _ROWS or size >= _BYTES:
+                yield from cut(False)
+    if rows:
+        yield from cut(True)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segloom.llm.linking import components, forest, linked
+from segloom.llm.linking import components, linked
 from segloom.llm.tables import map_arrow, settle
 from segloom.llm.words import chunks, mix, shingle_sets
 
@@ -92,31 +92,30 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, names=["node", "sketch", "shingles"])
 
 
-def _links(group: pa.Table) -> list[tuple[int, int]]:
-    sets = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("shingles")]
-    sketch = np.array([np.frombuffer(x.as_py(), np.uint64) for x in group.column("sketch")])
-    sizes = np.array([len(s) for s in sets])
-    ones = np.uint64(0x1111111111111111)
+class Sets:
+    """Decides by full sets; pairs whose sketches are far apart, or sets too different in size, aren't looked at."""
 
-    def near(y: int) -> np.ndarray:
-        d = sketch ^ sketch[y]
+    def __init__(self, rows: pa.Table):
+        self.sets = [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("shingles")]
+        self.sketch = np.array([np.frombuffer(x.as_py(), np.uint64) for x in rows.column("sketch")])
+        self.sizes = np.array([len(s) for s in self.sets])
+
+    def far(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        ones = np.uint64(0x1111111111111111)
+        d = self.sketch[a] ^ self.sketch[b]
         d |= d >> np.uint64(1)
         d |= d >> np.uint64(2)
         differing = np.bitwise_count(d & ones).sum(axis=1)
-        may = (differing <= NEAR) & (np.minimum(sizes, sizes[y]) * 100 >= np.maximum(sizes, sizes[y]) * PERCENT)
-        may[y] = False
-        found = np.flatnonzero(may)
-        return found[np.argsort(differing[found], kind="stable")]
-
-    def holds(y: int, others: np.ndarray) -> np.ndarray:
-        if not len(others):
-            return np.zeros(0, bool)
-        flat = np.concatenate([sets[x] for x in others])
-        at = np.minimum(np.searchsorted(sets[y], flat), sizes[y] - 1)
-        common = np.add.reduceat(sets[y][at] == flat, np.concatenate([[0], np.cumsum(sizes[others])[:-1]]), dtype=np.int64)
-        return common * 100 >= (sizes[others] + sizes[y] - common) * PERCENT
+        small, large = np.minimum(self.sizes[a], self.sizes[b]), np.maximum(self.sizes[a], self.sizes[b])
+        return np.where((differing <= NEAR) & (small * 100 >= large * PERCENT), differing.astype(float), np.inf)
 
-    return forest(len(sets), near, holds)
+    def holds(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(a), bool)
+        for k, (x, y) in enumerate(zip(a, b, strict=True)):
+            own, other = self.sets[x], self.sets[y]
+            common = int((own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other).sum())
+            out[k] = common * 100 >= (len(own) + len(other) - common) * PERCENT
+        return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -132,7 +131,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         own = texts.join(nodes.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left_semi")  # nodes grow with the input: never broadcast
         return settle(map_arrow(own, _sets, "node long, sketch binary, shingles binary").dropDuplicates(["node"]))
 
-    groups = components(linked(rows, payload, _links).unionByName(_same_document(full, classes)))
+    groups = components(linked(rows, payload, Sets).unionByName(_same_document(full, classes)))
     member = signed.select("doc_id", "n", "p", "q").join(classes, ["n", "p", "q"], "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     member = member.withColumn("component_id", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id")))
     return member.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

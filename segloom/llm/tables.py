@@ -11,18 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from segloom.shipping import ship
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder the cluster names in spark.checkpoint.dir; where that is unset, a temporary one in local mode and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jdir.get() if jdir.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="segloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -31,16 +35,34 @@ def shared_dir(spark: SparkSession) -> str:
 def settle(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: lost executors then never recompute what led to it.
 
-    The files go when the session's file system closes.
+    The files go when the session's file system closes, or by forget. The shuffles that led to it go at once, as nothing
+    reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/segloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     if partitions:
         df = df.coalesce(partitions)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def forget(*settled: DataFrame) -> None:
+    """Delete what settle wrote, where nothing reads it any more."""
+    for df in settled:
+        jpath = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.settled_at)
+        jpath.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:

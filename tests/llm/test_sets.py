@@ -122,13 +122,6 @@ def distance(a, b):
     return row[-1]
 
 
-def keys_of(line):
-    h, at = words.word_hashes([line])
-    sizes = np.array([len(w.encode()) for w in line.split()])
-    prints = simhash.signs(simhash.votes(*simhash.word_terms(h, sizes, at), 1, 64))
-    return set(simhash.block_keys(prints, lines.BLOCKS, lines.BLOCK_BITS, lines.INTACT)[0].tolist())
-
-
 def test_lines_equal_brute_force(spark):
     r = random.Random(7)
     pool = [" ".join(prose(r, r.randint(5, 30))) for _ in range(25)]
@@ -151,9 +144,8 @@ def test_lines_equal_brute_force(spark):
     texts[40], texts[41], texts[42] = None, "", "\n\n" + pool[0] + "\n"
     got = {x.doc_id: x for x in lines.dedup_lines(spark.createDataFrame([(k, t, 7, "x") for k, t in texts.items()], DOCS + ", n_chars long, h string")).collect()}
     every = [(k, p, normal(x)) for k, t in texts.items() if t for p, x in enumerate(t.split("\n"))]
-    distinct = sorted({x for *_, x in every if len(x.split()) >= lines.MIN_WORDS})
-    keys = {x: keys_of(x) for x in distinct}
-    want = groups(distinct, lambda a, b: bool(keys[a] & keys[b]) and distance(a, b) <= max(len(a), len(b)) // 10)
+    distinct = sorted({x for *_, x in every if x})
+    want = groups(distinct, lambda a, b: distance(a, b) <= max(len(a), len(b)) // 10)
     first: dict = {}
     for k, p, x in sorted(every):
         if x in want:
