@@ -6,12 +6,14 @@ too many, the fullest closes first. The pieces of one Arrow batch come longest f
 are known as soon as a piece arrives, and a task that runs again gives the same rows.
 
 Defined cases: null and empty texts are one piece of the end id alone; a text longer than a sequence is cut, and its
-first piece takes what is over full ones; strings of special tokens are ordinary text; repeated rows are packed each; no rows give no rows.
+first piece takes what is over full ones; strings of special tokens become these tokens, as the tokenizer's file has it; rows
+that repeat a doc_id are packed each, null doc_ids too; long texts are cut into pieces whole; no rows give no rows.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
@@ -24,7 +26,7 @@ from segloom.llm.tables import map_arrow
 
 LENGTH, OPEN_BINS, END_ID = 2048, 1024, 0
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-_ENCODERS: dict[tuple[str, str], object] = {}
+_ENCODERS: dict[tuple, object] = {}
 
 
 class BestFit:
@@ -58,15 +60,22 @@ class BestFit:
         return found, self.length - space
 
 
-def encoder(ranks_path: str, pattern: str):
+def special_tokens(tokenizer_path: str) -> dict[str, int]:
+    """Strings that a tokenizer's JSON file takes as one token each, with their ids."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        return {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+
+
+def encoder(ranks_path: str, pattern: str, special: dict[str, int]):
     """The tokenizer of a ranks file; one for each Python worker."""
     import tiktoken
 
-    if (ranks_path, pattern) not in _ENCODERS:
+    key = (ranks_path, pattern, *special.items())
+    if key not in _ENCODERS:
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENCODERS[ranks_path, pattern] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODERS[ranks_path, pattern]
+        _ENCODERS[key] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+    return _ENCODERS[key]
 
 
 def pieces(ids: array, length: int) -> Iterator[tuple[int, int]]:
@@ -77,16 +86,16 @@ def pieces(ids: array, length: int) -> Iterator[tuple[int, int]]:
         yield start, length
 
 
-def pack(docs: DataFrame, ranks_path: str, pattern: str, length: int = LENGTH, open_bins: int = OPEN_BINS) -> DataFrame:
-    """One row for each piece of each document, with its place."""
+def pack(docs: DataFrame, ranks_path: str, pattern: str, special: dict[str, int], length: int = LENGTH, open_bins: int = OPEN_BINS) -> DataFrame:
+    """One row for each piece of each document, with its place. special: see special_tokens."""
 
     def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks_path, pattern).encode_ordinary
+        encoding = encoder(ranks_path, pattern, special)
         bins, first_id = BestFit(length, open_bins), TaskContext.get().partitionId() << 40
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = array("I", encode(text.as_py() or ""))
+                ids = array("I", encoding.encode(text.as_py() or "", allowed_special="all"))
                 ids.append(END_ID)
                 for piece, (start, size) in enumerate(pieces(ids, length)):
                     rows.append([doc_id, piece, start, size, zlib.crc32(memoryview(ids)[start : start + size].cast("B"))])
