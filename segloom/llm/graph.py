@@ -6,10 +6,12 @@ query goes through every shard's graph by beam search, in blocks of queries; wha
 Distances while building are Euclidean after one more coordinate that makes all lengths equal, so that the nearest
 vector is the one of largest inner product. Scores are inner products of the original vectors in double precision.
 
-Equal vectors are one node that carries its smallest vec_ids, as many as an answer can need; every row is so indexed.
+Equal vectors are one node, which has the smallest vec_ids that come with it, as many as an answer can need; every row is so
+indexed.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do null
-vec_ids; a vec_id that comes with the same vector again counts once; vectors are searched among those of their own
+vec_ids; a vec_id that comes with the same vector again counts once; one that comes with several vectors asks with
+each of them and is found by each, once, with its best score; vectors are searched among those of their own
 length; ties go to the smaller vec_id; with fewer candidates than k all are returned as far as the beams reach, and
 exactly where a shard has no more rows than a beam; an empty table gives an empty result; other columns are ignored.
 """
@@ -160,7 +162,7 @@ _GRAPH = "shard string, rows int, entry int, nodes binary, vectors binary, edges
 _FOUND = "query_id long, node long, score double"
 
 
-def _searcher(k: int):
+def _searcher(wanted: int):
     def searched(block: pa.Table) -> pa.Table:
         ids, nodes, scores = [], [], []
         for row in block.to_batches(max_chunksize=1):
@@ -180,7 +182,7 @@ def _searcher(k: int):
                 for q, vector, found in zip(few, vectors, near, strict=True):
                     found = found[found >= 0]
                     score = np.einsum("ij,j->i", exact[found], vector)
-                    best = np.lexsort((names[found], -score))[: k + 1]
+                    best = np.lexsort((names[found], -score))[:wanted]
                     ids += [q["id"]] * len(best)
                     nodes += names[found[best]].tolist()
                     scores += score[best].tolist()
@@ -195,26 +197,34 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, shard_rows: int = SH
     vector = F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))
     good = "size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(vector, x -> x <> 0)"
     usable = rows.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), is_query.alias("is_query"), vector.alias("vector")).where(good)
-    usable = settle(usable.withColumns({"h": F.xxhash64("vector"), "g": F.hash("vector")}))
-    same = Window.partitionBy("h", "g").orderBy("vec_id")
+    # Nodes are different vectors, by hash; a vec_id may come with several of them.
+    usable = settle(usable.withColumn("node", F.xxhash64("vector")))
+    same = Window.partitionBy("node").orderBy("vec_id")
+    several = usable.groupBy("vec_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("vec_id")
+    most = usable.join(several, "vec_id", "left_semi").groupBy("vec_id").agg(F.count_distinct("node").alias("n")).agg(F.max("n")).first()[0] or 1
     # Of equal vectors an answer can hold the k smallest vec_ids, one more for a query that is among them.
-    members = usable.select("h", "g", "vec_id").distinct().withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1)
-    members = settle(members.select("vec_id", F.min("vec_id").over(Window.partitionBy("h", "g")).alias("node")))
-    nodes = usable.join(members.where("vec_id = node").select("vec_id"), "vec_id", "left_semi").select(F.col("vec_id").alias("node"), "vector", "h").dropDuplicates(["node"])
+    members = usable.select("node", "vec_id").distinct().withColumn("r", F.row_number().over(same)).where(F.col("r") <= (k + 1) * most)
+    members = settle(members.select("vec_id", "node"))
+    nodes = usable.select("node", "vector").dropDuplicates(["node"])
     nodes = nodes.withColumn("width", F.size("vector"))
     shards = nodes.groupBy("width").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))  # one row for each length
-    dealt = nodes.join(F.broadcast(shards), "width").select(F.concat_ws("-", "width", F.pmod("h", "shards")).alias("shard"), "node", "vector")
+    dealt = nodes.join(F.broadcast(shards), "width").select(F.concat_ws("-", "width", F.pmod("node", "shards")).alias("shard"), "node", "vector")
     graphs = settle(dealt.groupBy("shard").applyInArrow(_built, _GRAPH))
 
-    queries = usable.where("is_query").select("vec_id", "vector").dropDuplicates(["vec_id"])
+    queries = usable.where("is_query").select("vec_id", "node", "vector").dropDuplicates(["vec_id", "node"])
     counted = queries.agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks")).first()["blocks"] or 1
     block = F.pmod(F.xxhash64("vec_id"), F.lit(counted))
     blocks = queries.groupBy(F.size("vector").alias("width"), block.alias("block")).agg(F.collect_list(F.struct(F.col("vec_id").alias("id"), "vector")).alias("queries"))
     asked = graphs.withColumn("width", F.substring_index("shard", "-", 1).cast("int")).join(blocks, "width")
-    found = asked.groupBy("shard", "block").applyInArrow(_searcher(k), _FOUND)
+    wanted = min(BEAM, (k + 1) * most)
+    found = asked.groupBy("shard", "block").applyInArrow(_searcher(wanted), _FOUND)
+    if most > 1:
+        found = found.groupBy("query_id", "node").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "node")
-    # Equal vectors have equal scores: the nodes of the k + 1 best hold all answers.
-    found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
+    # Equal vectors have equal scores: the nodes of the k + 1 best ids hold all answers.
+    found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= wanted).drop("r")
     answers = found.join(members, "node").where("vec_id <> query_id")
+    if most > 1:
+        answers = answers.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return answers.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
