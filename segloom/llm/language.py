@@ -6,7 +6,8 @@ texts. A text gets the language whose prototype is closest by cosine. Runs of ot
 has a vector too. Letters share a fixed number of vectors beyond the first 2048 code points, so memory is bounded.
 
 Defined cases: a null text or one without letters is `und` with score 0; without any training text all are `und`;
-ties go to the language that sorts first; repeated rows get a row each.
+ties go to the language that sorts first; repeated rows get a row each; a text of any length counts whole, in stretches
+of bounded memory; an empty table gives an empty result, and learning from one knows no language.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from segloom.llm.tables import map_arrow
 from segloom.llm.words import chunks
 
 DIMENSIONS, SLOTS = 1024, 4096
+#: Slots of texts that are counted in one go, and different trigrams whose vectors are made in one go: they bound the memory.
+STRETCH, AT_ONCE = 1 << 19, 4096
 UNKNOWN = "und"
 _MEMORY: dict[str, np.ndarray] = {}
 
@@ -40,8 +43,8 @@ def _slots() -> np.ndarray:
     return _MEMORY["slots"]
 
 
-def _trigrams(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts by text and trigram, the trigrams' vectors, and which texts have letters."""
+def bundles(texts: Sequence[str | None], row: Sequence[int], rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of the trigrams' vectors of the texts of each row, and which texts have letters. row: of each text."""
     table = _slots()
     codes = [table[np.frombuffer((t or "").lower().encode("utf-32-le", "surrogatepass"), "<u4")] for t in texts]
     has = np.array([bool(c.any()) for c in codes])
@@ -56,11 +59,20 @@ def _trigrams(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
     keep = np.ones(len(flat), bool)
     keep[1:] = (flat[1:] != 0) | (flat[:-1] != 0) | (owner[1:] != owner[:-1])
     flat, owner = flat[keep], owner[keep]
+    place = np.asarray(row, np.int64)
+    out = np.zeros((rows, DIMENSIONS))
+    for lo in range(0, max(0, len(flat) - 2), STRETCH):
+        _add(out, flat[lo : lo + STRETCH + 2], owner[lo : lo + STRETCH + 2], place)
+    return out, has
+
+
+def _add(out: np.ndarray, flat: np.ndarray, owner: np.ndarray, place: np.ndarray) -> None:
+    """Add the vectors of the trigrams of a stretch of slots, some different trigrams at once."""
     alphabet, small = np.unique(flat, return_inverse=True)
     n = len(alphabet)
     same = (owner[2:] == owner[:-2]) & (flat[1:-1] != 0)
     keys = (small[:-2].astype(np.int64) * n + small[1:-1]) * n + small[2:]
-    keys, of = keys[same], owner[2:][same]
+    keys, of = keys[same], place[owner[2:][same]]
     if n <= 128:
         seen = np.zeros(n**3, bool)
         seen[keys] = True
@@ -70,11 +82,16 @@ def _trigrams(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
         column = lookup[keys]
     else:
         present, column = np.unique(keys, return_inverse=True)
-    counts = np.bincount(of * np.int64(max(1, len(present))) + column, minlength=len(texts) * len(present)).reshape(len(texts), len(present)).astype(np.float32)
+    if len(present) > AT_ONCE:
+        order = np.argsort(column, kind="stable")
+        column, of = column[order], of[order]
     items = _MEMORY["items"]
-    a, b, c = alphabet[present // (n * n)], alphabet[present // n % n], alphabet[present % n]
-    vectors = (items[0][a] * items[1][b] * items[2][c]).astype(np.float32)
-    return counts, vectors, has
+    for lo in range(0, len(present), AT_ONCE):
+        some = present[lo : lo + AT_ONCE]
+        a, b = np.searchsorted(column, [lo, lo + len(some)]) if len(present) > AT_ONCE else (0, len(column))
+        counts = np.bincount(of[a:b] * len(some) + column[a:b] - lo, minlength=len(out) * len(some)).reshape(len(out), len(some))
+        vectors = items[0][alphabet[some // (n * n)]] * items[1][alphabet[some // n % n]] * items[2][alphabet[some % n]]
+        out += counts.astype(np.float32) @ vectors.astype(np.float32)
 
 
 def _few(texts: Sequence[str | None]) -> Iterator[tuple[int, int]]:
@@ -90,20 +107,19 @@ def prototypes(training: DataFrame) -> tuple[list[str], np.ndarray]:
     What reaches the driver is one vector for each language.
     """
 
-    def bundles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo, hi in _few(texts):
-                counts, vectors, _ = _trigrams(texts[lo:hi])
                 names = sorted(set(langs[lo:hi]))
-                member = np.array([[x == name for x in langs[lo:hi]] for name in names], np.float32)
-                for name, bundle in zip(names, (member @ counts) @ vectors, strict=True):
-                    sums[name] = sums.get(name, 0) + bundle.astype(np.float64)
+                found, _ = bundles(texts[lo:hi], [names.index(x) for x in langs[lo:hi]], len(names))
+                for name, bundle in zip(names, found, strict=True):
+                    sums[name] = sums.get(name, 0) + bundle
         for name, bundle in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([np.rint(bundle).astype(np.int64).tolist()], pa.list_(pa.int64()))], names=["lang", "bundle"])
 
-    parts = map_arrow(training.where("lang is not null and text is not null").select("text", "lang"), bundles, "lang string, bundle array<long>")
+    parts = map_arrow(training.where("lang is not null and text is not null").select("text", "lang"), summed, "lang string, bundle array<long>")
     total = parts.select("lang", F.posexplode("bundle").alias("at", "x")).groupBy("lang", "at").agg(F.sum("x").alias("x"))
     rows = total.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("v")).select("lang", "v.x").orderBy("lang").collect()
     found = np.array([r["x"] for r in rows], np.float64).reshape(len(rows), DIMENSIONS)
@@ -113,7 +129,6 @@ def prototypes(training: DataFrame) -> tuple[list[str], np.ndarray]:
 
 def identify(docs: DataFrame, languages: list[str], profiles: np.ndarray) -> DataFrame:
     """docs with lang_pred and score beside their columns; columns of docs with these names go."""
-    known = profiles.astype(np.float32)
     docs = docs.drop("lang_pred", "score")
 
     def predicted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,10 +136,9 @@ def identify(docs: DataFrame, languages: list[str], profiles: np.ndarray) -> Dat
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
             for lo, hi in _few(texts) if languages else ():
-                counts, vectors, has = _trigrams(texts[lo:hi])
-                bundle = counts @ vectors
+                bundle, has = bundles(texts[lo:hi], range(hi - lo), hi - lo)
                 norm = np.linalg.norm(bundle, axis=1)
-                cosine = (bundle @ known.T) / np.where(norm, norm, 1)[:, None]
+                cosine = (bundle @ profiles.T) / np.where(norm, norm, 1)[:, None]
                 best = cosine.argmax(axis=1)
                 for i in np.flatnonzero(has):
                     names[lo + i], scores[lo + i] = languages[best[i]], min(1.0, max(0.0, float(cosine[i, best[i]])))
