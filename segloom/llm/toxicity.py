@@ -5,11 +5,12 @@ difference between both scores is added to the loss, so that naming a group cann
 are words and their beginnings present in a text (punctuation off, lower case); those far more frequent in toxic texts
 are kept, with weights that aren't negative.
 
-The fit takes at most SAMPLE labelled texts, those of the smallest hashes of doc_id; scoring takes whole texts.
+The fit takes at most SAMPLE labelled texts, those of the smallest hashes of doc_id, and at most FEATURES features, which
+executors count; both are parameters of train. Scoring takes whole texts, however long.
 
 Defined cases: null and empty texts get the score of a text without features; without two classes to learn from
 every score is the share of label 1 (0 without labels); a doc_id with several labels has the highest; null labels teach
-nothing; repeated rows get a row each.
+nothing; repeated rows get a row each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from segloom.llm.lines import normal_bytes
-from segloom.llm.tables import map_arrow
+from segloom.llm.tables import forget, map_arrow, settle, small
 from segloom.llm.words import chunks, mix, span_hashes, spans
 
 SAMPLE, FEATURES, LEAST_TEXTS, LEAST_Z = 20000, 4096, 5, 6.0
@@ -70,28 +71,6 @@ def _present(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
-def _frequent(present: list[np.ndarray], always: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Features of at least LEAST_TEXTS texts, and those of always that occur, with the number of texts of each."""
-    flat = np.sort(np.concatenate(present)) if present else np.zeros(0, np.uint64)
-    starts = np.flatnonzero(np.concatenate([flat[:1] == flat[:1], flat[1:] != flat[:-1]]))
-    times = np.diff(np.append(starts, len(flat)))
-    words = flat[starts]
-    kept = (times >= LEAST_TEXTS) | np.isin(words, always)
-    return words[kept], times[kept]
-
-
-def _hits(present: list[np.ndarray | None], words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which text has which of some sorted features."""
-    rows, columns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i, own in enumerate(present):
-        if own is not None and len(words):
-            at = np.minimum(np.searchsorted(words, own), len(words) - 1)
-            hit = at[words[at] == own]
-            rows.append(np.full(len(hit), i))
-            columns.append(hit)
-    return np.concatenate(rows), np.concatenate(columns)
-
-
 @dataclass
 class Model:
     hashes: np.ndarray
@@ -110,40 +89,29 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -60, 60)))
 
 
-def fit(labels: np.ndarray, present: list[np.ndarray], swapped: list[np.ndarray | None]) -> Model:
-    """Logistic regression with balanced classes; swapped[i] has the words of text i's counterfactual."""
+def fit(labels: np.ndarray, hashes: np.ndarray, hits: list[np.ndarray], swapped: list[np.ndarray | None]) -> Model:
+    """Logistic regression with balanced classes on the features of hashes; hits[i] are those of text i, swapped[i] of its counterfactual."""
     n, ones = len(labels), int(labels.sum())
     if not 0 < ones < n:
         share = min(max(ones / n if n else 0.0, 1e-9), 1 - 1e-9)
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(share / (1 - share))))
-    terms = _terms([" ".join(SWAP)])[1]
-    words, texts = _frequent(present, terms)
-    row, column = _hits(present, words)
-    with_one = np.bincount(column, weights=labels[row], minlength=len(words))
-    share = texts / n
-    z = (with_one / ones - (texts - with_one) / (n - ones)) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / ones + 1 / (n - ones)))
-    score = np.where((texts >= LEAST_TEXTS) & (z >= LEAST_Z), z, 0)
-    score[np.isin(words, terms)] = np.inf
-    kept = np.sort(np.argsort(-score, kind="stable")[: min(FEATURES, int((score > 0).sum()))])
-    hashes = words[kept]
-    place = np.full(len(words), -1)
-    place[kept] = np.arange(len(kept))
-    use = place[column] >= 0
-    r, c = row[use], place[column[use]]
+    kept = len(hashes)
+    r, c = np.repeat(np.arange(n), [len(x) for x in hits]), np.concatenate([*hits, np.zeros(0, np.int64)])
     # Differences between texts and their counterfactuals, as rows of +1 and -1.
-    named = [p if t is not None else None for p, t in zip(present, swapped, strict=True)]
-    own, other = _hits(named, hashes), _hits(swapped, hashes)
-    dr, dc = np.concatenate([own[0], other[0]]), np.concatenate([own[1], other[1]])
-    dv = np.concatenate([np.ones(len(own[0])), -np.ones(len(other[0]))])
+    named = [i for i in range(n) if swapped[i] is not None]
+    pairs = [(i, x, v) for i in named for x, v in ((hits[i], 1.0), (swapped[i], -1.0))]
+    dr = np.repeat([i for i, _, _ in pairs], [len(x) for _, x, _ in pairs]).astype(np.int64)
+    dc = np.concatenate([*[x for _, x, _ in pairs], np.zeros(0, np.int64)])
+    dv = np.repeat([v for _, _, v in pairs], [len(x) for _, x, _ in pairs])
     weight = np.where(labels > 0, 0.5 / ones, 0.5 / (n - ones))
-    w, bias, seen, seen_bias = np.zeros(len(kept)), 0.0, np.full(len(kept), 1e-8), 1e-8
+    w, bias, seen, seen_bias = np.zeros(kept), 0.0, np.full(kept, 1e-8), 1e-8
     for _ in range(STEPS):
         p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(r, weights=w[c], minlength=n), -60, 60)))
         off = weight * (p - labels)
-        g = np.bincount(c, weights=off[r], minlength=len(kept)) + SHRINKAGE * w
+        g = np.bincount(c, weights=off[r], minlength=kept) + SHRINKAGE * w
         if len(dr):
             gap = np.bincount(dr, weights=dv * w[dc], minlength=n)
-            g += 2 * PENALTY * np.bincount(dc, weights=dv * (weight * gap)[dr], minlength=len(kept))
+            g += 2 * PENALTY * np.bincount(dc, weights=dv * (weight * gap)[dr], minlength=kept)
         seen += g * g
         seen_bias += off.sum() ** 2
         w = np.maximum(w - RATE * g / np.sqrt(seen), 0.0)  # benign words can't hide others
@@ -153,21 +121,53 @@ def fit(labels: np.ndarray, present: list[np.ndarray], swapped: list[np.ndarray
 
 def _examples(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.int64())
-    for batch in batches:
+    for batch in small(batches):
         texts = [plain(t) for t in batch.column(1).to_pylist()]
         other = [counterfactual(t) for t in texts]
         with_other = [x.view(np.int64) if t is not None else None for t, x in zip(other, _present(other), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int64) for x in _present(texts)], kind), pa.array(with_other, kind)], names=["label", "present", "swapped"])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """labels: doc_id, label. At most sample rows and their words reach the driver."""
+def _chosen(examples: DataFrame, n: int, ones: int, features: int, least_texts: int, least_z: float) -> np.ndarray:
+    """Sorted hashes of the features: identity terms that occur, and the words most typical of label 1."""
+    words = examples.select("label", F.explode("present").alias("word")).groupBy("word").agg(F.count("*").alias("texts"), F.sum("label").alias("hits"))
+    named = F.col("word").isin(*_terms([" ".join(SWAP)])[1].view(np.int64).tolist())
+    share = F.col("texts") / n
+    spread = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / ones + 1 / (n - ones)))
+    words = words.withColumn("z", F.when(named, F.lit(float("inf"))).otherwise((F.col("hits") / ones - (F.col("texts") - F.col("hits")) / (n - ones)) / spread))
+    top = words.where(named | ((F.col("texts") >= least_texts) & (F.col("z") >= least_z))).orderBy(F.desc("z"), "word").limit(features)
+    return np.sort(np.array([x["word"] for x in top.select("word").collect()], np.int64).view(np.uint64))
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES, least_texts: int = LEAST_TEXTS, least_z: float = LEAST_Z) -> Model:
+    """labels: doc_id, label. What reaches the driver is the features, at most so many, and which of them the at most sample texts have.
+
+    A feature is in least_texts texts, and so much more frequent with label 1 that the difference is least_z deviations.
+    """
     chosen = labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # so that the broadcast is bounded
     rows = docs.where("text is not null").join(F.broadcast(chosen), "doc_id").select("label", "text")
-    got = map_arrow(rows, _examples, "label int, present array<long>, swapped array<long>").toArrow()
-    as_hashes = [[None if x.as_py() is None else x.values.to_numpy().view(np.uint64) for x in got.column(k)] for k in (1, 2)]
-    return fit(np.array(got.column(0).to_pylist(), float), *as_hashes)
+    examples = settle(map_arrow(rows, _examples, "label int, present array<long>, swapped array<long>"))
+    total = examples.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("ones")).first()
+    hashes = _chosen(examples, total["n"], total["ones"], features, least_texts, least_z) if 0 < total["ones"] < total["n"] else np.zeros(0, np.uint64)
+
+    def hit(own) -> np.ndarray | None:
+        if own is None or not len(hashes):
+            return None if own is None else np.zeros(0, np.int64)
+        values = own.values.to_numpy().view(np.uint64)
+        at = np.minimum(np.searchsorted(hashes, values), len(hashes) - 1)
+        return at[hashes[at] == values]
+
+    def hits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.int64())
+        for batch in batches:
+            columns = [pa.array([hit(x if x.is_valid else None) for x in batch.column(k)], kind) for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["label", "present", "swapped"])
+
+    got = map_arrow(examples, hits, "label int, present array<long>, swapped array<long>").toArrow()
+    own, other = ([None if x.as_py() is None else x.values.to_numpy() for x in got.column(k)] for k in (1, 2))
+    forget(examples)
+    return fit(np.array(got.column(0).to_pylist(), float), hashes, own, other)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
