@@ -43,10 +43,43 @@ def test_languages_of_odd_tables(spark):
 
 
 def test_a_trigram_is_the_product_of_turned_letters():
-    counts, vectors, has = language._trigrams(["ab"])
-    items = language._MEMORY["items"][2]
-    want = np.roll(items[0], 2) * np.roll(items[ord("a")], 1) * items[ord("b")]
-    assert has.all() and counts.sum() == 2 and any((v == want).all() for v in vectors)
+    found, has = language.bundles(["ab"], [0], 1)
+    items = language._MEMORY["items"][2].astype(int)
+    turned = lambda x, y, z: np.roll(items[x], 2) * np.roll(items[y], 1) * items[z]
+    assert has.all() and (found[0] == turned(0, ord("a"), ord("b")) + turned(ord("a"), ord("b"), 0)).all()
+
+
+def test_bundles_equal_brute_force(monkeypatch):
+    """Texts of any length and alphabet, in short stretches, against one vector for each trigram in turn."""
+    monkeypatch.setattr(language, "STRETCH", 50)
+    monkeypatch.setattr(language, "AT_ONCE", 7)
+    r = random.Random(8)
+    texts = ["".join(r.choice("abc Éß中文字, \n7") for _ in range(n)) for n in (0, 1, 2, 30, 400)] + ["".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(300)), None]
+    found, has = language.bundles(texts, [0, 1, 2, 3, 4, 5, 5], 6)
+    slots, items = language._slots(), language._MEMORY["items"][2].astype(int)
+    want = np.zeros((6, language.DIMENSIONS))
+    for k, t in enumerate(texts[:6]):
+        line = [0]
+        for c in t.lower():
+            if slots[ord(c)] or line[-1]:
+                line.append(int(slots[ord(c)]))
+        line += [0] if line[-1] else []
+        for x, y, z in zip(line, line[1:], line[2:]):
+            if y:
+                want[k] += np.roll(items[x], 2) * np.roll(items[y], 1) * items[z]
+    assert (found == want).all() and has.tolist() == [any(c.isalpha() for c in t or "") for t in texts]
+
+
+def test_a_long_text_needs_little_memory(spark):
+    import tracemalloc
+
+    r = random.Random(9)
+    text = "".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(1 << 20))
+    language.bundles(["warm"], [0], 1)
+    tracemalloc.start()
+    language.bundles([text], [0], 1)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
 
 
 def labelled(r, n):

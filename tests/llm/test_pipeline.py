@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import os
+import random
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 from test_sets import groups, shingles
 
 from segloom.llm.queries import QUERIES
@@ -43,6 +45,21 @@ def test_stages_stand_odd_documents(spark):
     assert sorted(r.doc_id or 0 for r in kept) == [0, 4, 4] and {r.aside_0 for r in kept} == {"b", "c"}
 
 
+def test_the_language_stage_rejects_and_labels(spark):
+    docs = table(spark, DATA, "documents")
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    r = random.Random(3)
+    foreign = [(10**6 + k, "".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(200)), None, "s", 200) for k in range(5)]
+    own = docs.where("lang = 'en'").orderBy("doc_id").select("text").first()[0]
+    more = [(10**6 + 10, own, None, "s", len(own)), (10**6 + 11, "Kurz.", None, "s", 5), (10**6 + 12, "123 -- 456", "en", "s", 10)]
+    both = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(foreign + more, columns))
+    kept = {x.doc_id: x.lang for x in corpus_pipeline.STAGES[0][1](spark, both, DATA).collect()}
+    assert {k for k in kept if k >= 10**6} == {10**6 + 10, 10**6 + 11} and kept[10**6 + 10] == "en" and kept[10**6 + 11] is not None
+    assert len(kept) == docs.count() + 2
+    unknown = both.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.STAGES[0][1](spark, unknown, DATA).count() == docs.count() + 7
+
+
 @pytest.mark.parametrize("name", ["op1_language_id", "op5_toxicity", "op6_best_fit_packing", "op8_sharding", "op9_mixing"])
 def test_queries_cover_all_documents(spark, name):
     docs = table(spark, DATA, "documents")

@@ -78,6 +78,47 @@ def test_near_duplicates_of_odd_tables(spark):
     assert got == [(-1, -1, True), (1, 1, True), (1, 1, True), (3, 1, False), (3, 1, False)]
 
 
+def test_one_doc_id_with_several_texts(spark):
+    r = random.Random(21)
+    a, b = prose(r, 40), prose(r, 40)
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, near(b)), (8, near(a)), (9, " ".join(prose(r, 30))), (9, None)]
+    for order in (rows, rows[::-1]):
+        got = {(x.doc_id, x.component_id, x.kept) for x in neardup.near_duplicates(spark.createDataFrame(order, DOCS)).collect()}
+        assert got == {(5, 5, True), (7, 5, False), (8, 5, False), (9, 9, True)}
+
+
+def copies_of_hubs(spark, monkeypatch, m, apart):
+    """Rows that are compared for one hub of m nodes, apart of which are not near to it, and its components."""
+    monkeypatch.setattr(linking, "BLOCK", 64)
+    made = []
+
+    class Numbers:
+        def __init__(self, rows):
+            self.value = rows.column("value").to_numpy()
+
+        def far(self, a, b):
+            return np.where(self.value[a] == self.value[b], 0.0, np.inf)
+
+        def holds(self, a, b):
+            return np.ones(len(a), bool)
+
+    values = spark.createDataFrame([(k, 0 if k < m - apart else 1 + k % 3) for k in range(m)], "node long, value long")
+    spied = linking.map_arrow
+    monkeypatch.setattr(linking, "map_arrow", lambda df, f, schema: (made.append(df.count()), spied(df, f, schema))[1])
+    rows = values.select("node").selectExpr("1L as key", "node")
+    links = linking.linked(rows, lambda nodes: linking.settle(values.join(nodes, "node", "left_semi")), Numbers)
+    found = {x.node: x.component for x in linking.components(links).collect()}
+    assert len({found.get(k, k) for k in range(m)}) == 1 + min(3, apart)
+    return sum(made)
+
+
+def test_large_hubs_grow_in_proportion(spark, monkeypatch):
+    assert copies_of_hubs(spark, monkeypatch, 2000, 0) < 2000 * 1.1
+    monkeypatch.undo()
+    assert copies_of_hubs(spark, monkeypatch, 8000, 40) < 8000 * 2.9
+
+
 def test_signatures_estimate_similarity():
     a, b = np.arange(1, 1001, dtype=np.uint64), np.arange(251, 1251, dtype=np.uint64)
     same = (neardup.signature(words.mix(a)) == neardup.signature(words.mix(b))).mean()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from segloom.llm import graph, mixing, packing, sharding
 
 DOCS = "doc_id long, text string"
-RANKS = P.path("byte_bpe_50k.tiktoken")
+RANKS, SPECIAL = P.path("byte_bpe_50k.tiktoken"), packing.special_tokens(P.path("byte_bpe_50k.json"))
 
 
 def test_packing_is_a_round_trip(spark):
@@ -21,11 +21,10 @@ def test_packing_is_a_round_trip(spark):
 
     r = random.Random(1)
     texts = {k: " ".join(r.choice(["the", "Über", "12345", "naïve\n", "  ", "don't", "中文", "😀"]) for _ in range(r.choice([0, 3, 50, 400, 3000]))) for k in range(60)}
-    texts |= {60: None, 61: "", 62: "a" * 30000, 63: " " * 5000 + "x", 64: "<|endoftext|> in a text", 65: "0123456789" * 900}
+    texts |= {60: None, 61: "", 62: "a" * 30000, 63: " " * 5000 + "x", 64: "hello <|endoftext|> world <|endoftext|><|endoftext| >", 65: "0123456789" * 900}
     docs = spark.createDataFrame([(k, t, 1) for k, t in texts.items()], DOCS + ", piece int").repartition(3)
-    rows = packing.pack(docs, RANKS, P.PATTERN, 256, 16).collect()
+    rows = packing.pack(docs, RANKS, P.PATTERN, SPECIAL, 256, 16).collect()
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     pieces: dict = {}
     for x in rows:
         pieces.setdefault(x.doc_id, []).append(x)
@@ -46,7 +45,24 @@ def test_packing_is_a_round_trip(spark):
             end += length
         assert end <= 256
     assert len(sequences) <= 1.1 * sum(x.length for x in rows) / 256 + 3
-    assert packing.pack(spark.createDataFrame([], DOCS), RANKS, P.PATTERN).collect() == []
+    assert packing.pack(spark.createDataFrame([], DOCS), RANKS, P.PATTERN, SPECIAL).collect() == []
+
+
+def test_ids_equal_the_tokenizer_file():
+    from tokenizers import Tokenizer
+
+    tokenizer, encoding = Tokenizer.from_file(P.path("byte_bpe_50k.json")), packing.encoder(RANKS, P.PATTERN, SPECIAL)
+    r = random.Random(2)
+    parts = ["the ", "Über", "12", "\u00a0", "\u3000", "\u0301", "don't", "中文字", "😀", "\n", "\t ", "<|endoftext|>", "<|", "  ", "\ufeff", "\x00", "I'LL", "ſ", "हिन्दी", "!?"]
+    for _ in range(3000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 12)))
+        assert encoding.encode(text, allowed_special="all") == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_of_repeated_and_null_ids(spark):
+    rows = packing.pack(spark.createDataFrame([(1, "one text"), (1, "one text"), (1, "another"), (None, "one text"), (None, None)], DOCS).coalesce(1), RANKS, P.PATTERN, SPECIAL).collect()
+    assert sorted((x.doc_id or 0, x.piece, x.length) for x in rows) == [(0, 0, 1), (0, 0, 3), (1, 0, 2), (1, 0, 3), (1, 0, 3)]
+    assert len({(x.sequence_id, x.offset) for x in rows}) == 5
 
 
 def test_the_fullest_bin_closes_first():
@@ -167,6 +183,17 @@ def test_search_of_odd_tables(spark):
     assert got == [(0, 1, 2, 1.0), (0, 2, 1, 0.5)]
 
 
+def test_search_with_several_vectors_of_one_id(spark):
+    rows = [(1, [0.5, 0.1]), (1, [9.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.5, 0.1]), (4, [0.0, 2.0]), (20, [1.0, 1.0]), (20, [0.0, 3.0]), (5, [9.0, 0.0])]
+    got = graph.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 20).orderBy("rank").collect()
+    best: dict = {}
+    for q in ([1.0, 1.0], [0.0, 3.0]):
+        for k, v in rows:
+            if k != 20:
+                best[k] = max(best.get(k, -9.0), q[0] * v[0] + q[1] * v[1])
+    assert [(x.vec_id, x.score) for x in got] == sorted(best.items(), key=lambda x: (-x[1], x[0])) and [x.rank for x in got] == [1, 2, 3, 4, 5]
+
+
 def test_pruning_keeps_diverse_neighbours():
     vectors = np.array([[0, 0], [1, 0], [1.1, 0], [0, 2], [5, 5]], np.float32)
     got = graph.pruned(vectors, np.array([0]), np.array([[1, 2, 3, 4, -1]]), 3)[0]
