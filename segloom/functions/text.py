@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,20 @@ NOT_SOURCE_LANGUAGE, UNTRANSLATABLE, NO_TRANSLATION = "not-source-language", "sk
 FONT_CJK, FONT_OTHER = "Noto Sans CJK SC", "Noto Sans"
 
 
+#: The characters of WHITE_SPACE, for plain strings.
+SPACES = "".join(chr(c) for c in (9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF))
+
+
+def stripped(text: str) -> str:
+    """trimmed, of a plain string."""
+    return text.strip(SPACES)
+
+
+def split_at_space(text: str) -> list[str]:
+    """The runs of other characters in a plain string."""
+    return [x for x in re.split(f"[{re.escape(SPACES)}]+", text) if x]
+
+
 def trimmed(text: Column) -> Column:
     """Without white space at both ends, in the wide sense that counts no-break and ideographic spaces."""
     return F.regexp_replace(text, f"^[{WHITE_SPACE}]+|[{WHITE_SPACE}]+$", "")
@@ -43,8 +59,8 @@ def contains_cjk(text: Column) -> Column:
 
 def cjk_ratio(text: Column) -> Column:
     """CJK characters among those that aren't white space; 0 without any. U+3000 is white space first."""
-    shown = F.regexp_replace(text, f"[{WHITE_SPACE}]", "")
-    return F.when(F.length(shown) == 0, F.lit(0.0)).otherwise(F.regexp_count(shown, F.lit(f"[{CJK}]")) / F.length(shown))
+    shown = F.length(text) - F.regexp_count(text, F.lit(f"[{WHITE_SPACE}]"))
+    return F.when(text.isNotNull(), F.coalesce(F.try_divide(F.regexp_count(text, F.lit(f"[{CJK}&&[^\\u3000]]")), shown), F.lit(0.0)))
 
 
 def in_source_language(language: str, text: Column) -> Column:

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from segloom.functions.text import split_at_space, stripped
 from segloom.operators.layout import HalfEm, dealt_tokens, ink_matched
 from segloom.operators.ordered import out_batches, rows_of
 from segloom.operators.regions import voted_rows
@@ -125,7 +126,7 @@ def tightened(region: dict, light: np.ndarray) -> tuple[dict, float | None]:
 
 def cannot_fit(region: dict, measure: HalfEm) -> bool:
     """Whether the text, as high as its ink, is more than twice as wide as its box."""
-    text = region["text"].strip()
+    text = stripped(region["text"])
     height = (region["ink"] or region["box"])["h"]
     return bool(text) and measure.width(text) * ink_matched(text, height, measure) > region["box"]["w"] * CANNOT_FIT
 
@@ -136,7 +137,7 @@ def split(region: dict, light: np.ndarray, ground: float, measure: HalfEm) -> li
     band = region["ink"]
     upper = max(y0, math.floor(band["y"])) if band else y0
     height = (min(y1, math.ceil(band["y"] + band["h"])) if band else y1) - upper
-    tokens = region["text"].split()
+    tokens = split_at_space(region["text"])
     if y1 <= y0 or height <= 0 or x1 - x0 < SPLIT_ASPECT * height or len(tokens) < 2:
         return [region]
     counts, _ = profile(light[upper : upper + height, x0:x1], ground)

@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 
 from segloom.functions import boxes as B
 from segloom.functions import text as T
+from segloom.functions.text import stripped
 from segloom.operators.ordered import through
 
 # Limits that results depend on.
@@ -178,7 +179,7 @@ def rotated_rows(rows: list[dict]) -> list[dict]:
             i += 1
             continue
         a, b = rows[i], rows[j]
-        unsure = a["text"].strip() != b["text"].strip() and abs(a["confidence"] - b["confidence"]) < AMBIGUOUS
+        unsure = stripped(a["text"]) != stripped(b["text"]) and abs(a["confidence"] - b["confidence"]) < AMBIGUOUS
         gone = {i, j} if unsure else {j if a["confidence"] >= b["confidence"] else i}
         rows = [r for k, r in enumerate(rows) if k not in gone]
         # Rows before i are apart from all that are left, so nothing before i can be found now.

@@ -84,10 +84,12 @@ def suffixed_ids(rows: DataFrame) -> DataFrame:
 
     def step(own: Iterator[dict]) -> Iterator[dict]:
         taken: set[str] = set()
+        free: dict[str, int] = {}  # below these numbers, all are taken
         for row in own:
-            found, n = row["base"], 2
+            base = found = row["base"]
             while found in taken:
-                found, n = f"{row['base']}-{n}", n + 1
+                n = free.get(base, 2)
+                found, free[base] = f"{base}-{n}", n + 1
             taken.add(found)
             yield row | {"id": found}
 

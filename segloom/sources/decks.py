@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from segloom.functions.text import stripped
 from segloom.operators.layout import CJK_BREAK, HalfEm, wrapped
 from segloom.operators.ordered import out_batches, rows_of
 from segloom.shipping import ship
@@ -218,7 +219,7 @@ class Scan:
             self.skips.append((raw, "WordArt"))
             return
         text = body_text(body)
-        if not text.strip():
+        if not stripped(text):
             return
         place = placeholder(shape)
         role = ROLE_ALIAS.get(place[0], place[0]) if place else None
@@ -273,10 +274,10 @@ class Scan:
                 text = body_text(body) if body is not None else ""
                 own = f"{raw}/r{r + 1}c{c + 1}"
                 if cell.hasAttribute("hMerge") or cell.hasAttribute("vMerge"):
-                    if text.strip():
+                    if stripped(text):
                         self.skips.append((own, "merge-continuation cell with unexpected text (anchor-only extraction is intentional)"))
                     continue
-                if not text.strip():
+                if not stripped(text):
                     continue
                 box = (ENDLESS, ENDLESS)
                 if c < len(widths):
@@ -311,7 +312,7 @@ class Scan:
         for point in model.getElementsByTagNameNS(DGM, "pt"):
             body = child(point, DGM, "t")
             text = body_text(body) if body is not None else ""
-            if text.strip():
+            if stripped(text):
                 own = f"{raw}/pt{escaped(point.getAttribute('modelId') or 'unknown')}"
                 self.add(own, text, box, font_of(body) | {"size_pt": explicit_size(body) or SIZE}, "smartart", "shape", part, body, drawing_path=drawing)
 
@@ -326,7 +327,7 @@ class Scan:
         for sp in children(tree, P, "sp"):
             place, body = placeholder(sp), child(sp, P, "txBody")
             text = body_text(body) if body is not None else ""
-            if place and place[0] == "body" and text.strip():
+            if place and place[0] == "body" and stripped(text):
                 font = font_of(body) | {"size_pt": explicit_size(body) or SIZE}
                 self.add(f"slide{self.n}/notes", text, (ENDLESS, ENDLESS), font, "notes", "notes", part, body, group_key=f"slide{self.n}-notes")
 
@@ -338,7 +339,7 @@ def escaped(name: str) -> str:
 def name_of(shape) -> str:
     own = {"sp": "nvSpPr", "pic": "nvPicPr", "grpSp": "nvGrpSpPr", "graphicFrame": "nvGraphicFramePr"}
     props = path_to(shape, P, own.get(shape.localName, "nvSpPr"), "cNvPr")
-    name = props.getAttribute("name").strip() if props is not None else ""
+    name = stripped(props.getAttribute("name")) if props is not None else ""
     number_ = props.getAttribute("id") if props is not None else ""
     return name or (f"Shape {number_}" if number_ else "Shape")
 
@@ -385,7 +386,7 @@ def font_of(body) -> dict:
     """Family and style of the first run that shows something."""
     for run in body.getElementsByTagNameNS(A, "r"):
         text = run_text(run)
-        if text.strip():
+        if stripped(text):
             props = child(run, A, "rPr")
             latin, east = (f.getAttribute("typeface") if (f := child(props, A, k)) is not None else "" for k in ("latin", "ea"))
             cjk = CJK_BREAK.search(text) or any("가" <= c <= "힯" for c in text)
@@ -417,7 +418,7 @@ def set_text(run, text: str) -> None:
     while t.firstChild:
         t.removeChild(t.firstChild)
     t.appendChild(run.ownerDocument.createTextNode(text))
-    if text != text.strip():
+    if text != stripped(text):
         t.setAttribute("xml:space", "preserve")
     elif t.hasAttribute("xml:space"):
         t.removeAttribute("xml:space")
@@ -476,7 +477,7 @@ def _new_run(p, before):
 def write_size(body, size: float, keep_snug: bool) -> None:
     """The size in quarter points on every run that shows something, and shrinking on overflow."""
     for run in body.getElementsByTagNameNS(A, "r"):
-        if run_text(run).strip():
+        if stripped(run_text(run)):
             props = child(run, A, "rPr")
             if props is None:
                 props = run.insertBefore(_make(run, "rPr"), run.firstChild)
@@ -514,7 +515,7 @@ def write(content: bytes, translations: dict[str, dict], images: dict[str, bytes
         except ValueError:
             continue
         for run in drawing.getElementsByTagNameNS(A, "r"):
-            found = texts.get(run_text(run), set()) if run_text(run).strip() else set()
+            found = texts.get(run_text(run), set()) if stripped(run_text(run)) else set()
             if len(found) == 1:
                 set_text(run, next(iter(found)))
                 scan.archive.changed.add(part)

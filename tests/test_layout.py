@@ -65,6 +65,35 @@ def test_ink_and_width_sizes():
     assert L.width_capped("ab", 30, M) == 30.0
 
 
+class Ink(L.HalfEm):
+    def __init__(self, high):
+        self.high = high
+
+    def ink(self, text):
+        return self.high
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.floats(0.01, 5000), st.floats(0.05, 3))
+def test_ink_sizes_are_those_of_halving_a_bracket(height, ink):
+    low, high = 0.5, max(1.2 * height, 1.0)
+    while ink * high < height and high < 2000:
+        low, high = high, min(2 * high, 2000)
+    while high - low > 0.25:
+        middle = (low + high) / 2
+        low, high = (middle, high) if ink * middle < height else (low, middle)
+    found = L.ink_matched("x", height, Ink(ink))
+    on_border = abs(height / ink - low) < 1e-9 * height or abs(height / ink - high) < 1e-9 * height
+    assert found == pytest.approx((low + high) / 2, rel=1e-12) or on_border
+
+
+def test_many_tokens_are_dealt_in_columns(monkeypatch):
+    widths = [1.0 + k % 5 for k in range(700)]
+    whole = L.dealt_tokens(widths, 0.25, [30.0, 30.0, 40.0])
+    monkeypatch.setattr(L, "_COLUMNS", 1 << 20)
+    assert whole == L.dealt_tokens(widths, 0.25, [30.0, 30.0, 40.0]) and sum(whole) == 700
+
+
 def test_clusters_do_not_chain(spark):
     rows = spark.createDataFrame([("a", k, float(z), 99.0 if k else 9.5) for k, z in enumerate([10, 11, 12, 13, 14, 30])], "g string, k int, z double, top double")
     got = [(r.cluster, r.snapped) for r in L.clustered(rows, "g", "z", "top", "k").orderBy("k").collect()]

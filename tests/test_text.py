@@ -48,3 +48,16 @@ def test_thoughts_and_formats(spark):
 def test_image_kind(spark):
     df = spark.createDataFrame([(bytearray(b"\x89PNG1"),), (bytearray(b"\xff\xd8x"),), (bytearray(b"GIF"),)], "b binary")
     assert [r[0] for r in df.select(T.image_kind(F.col("b"))).collect()] == ["png", "jpeg", None]
+
+
+def test_white_space_is_one_class(spark):
+    every = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000 and c]
+    got = {r.c for r in spark.createDataFrame([(c,) for c in every], "c string").where(T.is_blank(F.col("c"))).collect()}
+    assert got == set(T.SPACES) == {c for c in every if not T.stripped(c)}
+    assert T.split_at_space("\ufeffa\x1cb\u3000 c\x85") == ["a\x1cb", "c\x85"]
+
+
+def test_ratio_counts_what_is_shown(spark):
+    rows = [("质量 ab\u3000", 0.5), ("\u3000 ", 0.0), ("", 0.0), ("、a", 0.5), (None, None)]
+    got = [r.s for r in spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "k int, t string").orderBy("k").select(T.cjk_ratio(F.col("t")).alias("s")).collect()]
+    assert got == [s for _, s in rows]
