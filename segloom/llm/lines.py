@@ -41,9 +41,10 @@ EDIT_PERCENT = 90
 SHORT = 40
 CHOSEN = ((8, 36, 110, 24), (12, 99, 250, 24), (16, 225, 1 << 62, 40))
 #: Bits of a line's fingerprint, over runs of GRAM characters, and how many may differ: 1 in 200 pairs at 90 % has more.
-PRINT_BITS, GRAM, RADIUS = 256, 5, 92
+PRINT_BITS, GRAM, RADIUS = 512, 5, 178
 _GRAM = np.uint64(0xD6E8FEB86659FD93)
-_VOTES = (np.random.default_rng(23).integers(0, 2, (256, PRINT_BITS)) * 2 - 1).astype(np.float32)
+_BUCKET_BITS = 9
+_VOTES = (np.random.default_rng(23).integers(0, 2, (1 << _BUCKET_BITS, PRINT_BITS)) * 2 - 1).astype(np.float32)
 _ASCII = bytes(32 if c < 33 and c != 10 or 33 <= c < 48 or 58 <= c < 65 or 91 <= c < 97 or 123 <= c < 128 else 48 if 48 <= c < 58 else c for c in range(256))
 
 
@@ -68,16 +69,16 @@ def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def line_prints(texts: list[str]) -> np.ndarray:
-    """The SimHash fingerprint of each line, as 64-bit words: its runs vote, through 256 signed buckets, on each bit."""
+    """The SimHash fingerprint of each line, as 64-bit words: its runs vote, through signed buckets, on each bit."""
     points, sizes, _ = _points(texts)
     owner = np.repeat(np.arange(len(texts)), sizes + 1)
     h = points.copy()
     for i in range(1, GRAM):
         h = h[:-1] * _GRAM + points[i:]
     h = mix(h)
-    place = (owner[: len(h)] << 8) + (h >> np.uint64(56)).astype(np.int64)
-    counts = np.bincount(place, weights=((h >> np.uint64(55)) & np.uint64(1)) * 2.0 - 1, minlength=len(texts) << 8)
-    return np.packbits(counts.astype(np.float32).reshape(-1, 256) @ _VOTES > 0, axis=1, bitorder="little").view(np.uint64)
+    place = (owner[: len(h)] << _BUCKET_BITS) + (h >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64)
+    counts = np.bincount(place, weights=((h >> np.uint64(32)) & np.uint64(1)) * 2.0 - 1, minlength=len(texts) << _BUCKET_BITS)
+    return np.packbits(counts.astype(np.float32).reshape(-1, 1 << _BUCKET_BITS) @ _VOTES > 0, axis=1, bitorder="little").view(np.uint64)
 
 
 def _line_rows(batches: Iterable[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
