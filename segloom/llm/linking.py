@@ -106,17 +106,24 @@ def forest(rows: np.ndarray, match: Matcher) -> tuple[list[tuple[int, int]], np.
 
 
 def across(rest: np.ndarray, others: np.ndarray, later: np.ndarray, match: Matcher) -> list[tuple[int, int]]:
-    """Links from the rows rest, that no hub has, to others; later: others that are in a rest themselves, with their place."""
-    links = []
-    for y in rest:
+    """Links that connect the rows rest, which a hub doesn't reach, with others as all links would.
+
+    later: which others are in a rest themselves. The others but these are all linked with the hub, and count as connected.
+    """
+    links, n = [], len(rest)
+    group = np.arange(n + len(others))
+    group[n:][~later] = n + len(others)
+    for k, y in enumerate(rest):
         far = match.far(np.full(len(others), y), others)
-        may = np.flatnonzero(np.isfinite(far))
-        joined = False
-        for x in may[np.argsort(far[may], kind="stable")]:
-            # The others but later are all linked with the hub: one of them is enough.
-            if not (joined and not later[x]) and match.holds(np.array([y]), others[x : x + 1])[0]:
-                links.append((int(y), int(others[x])))
-                joined |= not later[x]
+        some = np.argsort(far, kind="stable")[: np.isfinite(far).sum()]
+        for at in range(0, len(some), 64):
+            few = some[at : at + 64]
+            few = few[group[n + few] != group[k]]
+            if len(few):
+                for x in few[match.holds(np.full(len(few), y), others[few])]:
+                    if group[n + x] != group[k]:
+                        links.append((int(y), int(others[x])))
+                        group[group == group[n + x]] = group[k]
     return links
 
 

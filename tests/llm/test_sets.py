@@ -108,6 +108,7 @@ def copies_of_hubs(spark, monkeypatch, m, apart):
     monkeypatch.setattr(linking, "map_arrow", lambda df, f, schema: (made.append(df.count()), spied(df, f, schema))[1])
     rows = values.select("node").selectExpr("1L as key", "node")
     links = linking.linked(rows, lambda nodes: linking.settle(values.join(nodes, "node", "left_semi")), Numbers)
+    assert links.count() < m + apart * m / 32
     found = {x.node: x.component for x in linking.components(links).collect()}
     assert len({found.get(k, k) for k in range(m)}) == 1 + min(3, apart)
     return sum(made)
@@ -119,6 +120,18 @@ def test_large_hubs_grow_in_proportion(spark, monkeypatch):
     assert copies_of_hubs(spark, monkeypatch, 8000, 40) < 8000 * 2.9
 
 
+def test_what_a_hub_does_not_reach_is_linked_sparingly():
+    class Same:
+        def far(self, a, b):
+            return np.zeros(len(a))
+
+        def holds(self, a, b):
+            return np.ones(len(a), bool)
+
+    links = linking.across(np.arange(500), np.arange(500, 1500), np.arange(1000) < 600, Same())
+    assert len(links) == 500 + 600 and len({x for link in links for x in link} & set(range(1100, 1500))) == 1
+
+
 def test_signatures_estimate_similarity():
     a, b = np.arange(1, 1001, dtype=np.uint64), np.arange(251, 1251, dtype=np.uint64)
     same = (neardup.signature(words.mix(a)) == neardup.signature(words.mix(b))).mean()
