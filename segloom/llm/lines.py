@@ -40,7 +40,7 @@ EDIT_PERCENT = 90
 #: From so many characters on, runs are chosen; their length, for lines from how many characters to below how many, and how many are kept.
 SHORT = 40
 CHOSEN = ((8, 36, 110, 24), (12, 99, 250, 24), (16, 225, 1 << 62, 40))
-#: Bits of a line's fingerprint, over runs of GRAM characters, and how many may differ: 1 in 200 pairs at 90 % has more.
+#: Bits of a line's fingerprint, over runs of GRAM characters, and how many may differ: about 1 in 100 pairs at the edit limit has more.
 PRINT_BITS, GRAM, RADIUS = 512, 5, 178
 _GRAM = np.uint64(0xD6E8FEB86659FD93)
 _BUCKET_BITS = 9
