@@ -245,7 +245,7 @@ def _most(a: int, b: int) -> int:
 def within(a: str, b: str, most: int) -> bool:
     """Whether the edit distance is most at most, by bit vectors: one step for each character of b.
 
-    What both begin and end with is left out first, and only the diagonals that most allows are kept.
+    What both begin and end with is left out first.
     """
     if a == b:
         return True
@@ -267,11 +267,11 @@ def within(a: str, b: str, most: int) -> bool:
         return False
     if not b:
         return len(a) <= most
-    return _banded(a, b, most)
+    return _by_bits(a, b, most)
 
 
-def _banded(a: str, b: str, most: int) -> bool:
-    """Edit distance within most by bit vectors; a is the longer one. Bits stand for rows of a near the diagonal."""
+def _by_bits(a: str, b: str, most: int) -> bool:
+    """Edit distance within most by bit vectors; a is the longer one, and bits stand for its characters."""
     peq: dict[str, int] = {}
     for i, c in enumerate(a):
         peq[c] = peq.get(c, 0) | 1 << i
