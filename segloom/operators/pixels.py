@@ -29,6 +29,7 @@ VALLEY, VALLEY_HEIGHTS, GRID_VALLEY, GRID_VALLEY_HEIGHTS, EMPTY = 14, 2, 6, 0.5,
 SPLIT_ASPECT, ROW_EMPTY, BAND_GAP, BAND_LEAST, BAND_SHARE = 2, 0.01, 2, 4, 0.7
 SEARCH, SEARCH_MOST, DROP_SPANS, DROP_WIDTH, CANNOT_FIT = 0.75, 14, 3, 8, 2
 RING, COLOUR_FLOOR, LIGHT, COLOUR_STEPS = 3, 40, 140, 10
+LINE_HEIGHT = 1.2
 WEIGHTS = np.array([0.299, 0.587, 0.114])
 
 
@@ -218,6 +219,26 @@ def painted(pixels: np.ndarray, boxes: list[dict]) -> tuple[np.ndarray, list[np.
     return out, colours
 
 
+def line_places(paint: dict, shape: tuple[int, ...]) -> list[dict]:
+    """Where each line's upper left corner is: lines stand in the middle of their box, from its left edge on.
+
+    A turned text's box is turned about its centre, so its lines run along the height. Angles go clockwise.
+    """
+    b, size, lines, angle = paint["box"], paint["size"], paint["lines"], paint["rotation"] or 0
+    left, top = max(0, math.floor(b["x"])), max(0, math.floor(b["y"]))
+    w, h = min(shape[1], math.ceil(b["x"] + b["w"])) - left, min(shape[0], math.ceil(b["y"] + b["h"])) - top
+    if w <= 0 or h <= 0:
+        return []
+    run = h if angle else w
+    out = []
+    for k, text in enumerate(lines):
+        # from the centre of the box, along the text and across it
+        along, across = -run / 2, (k - len(lines) / 2) * size * LINE_HEIGHT
+        dx, dy = {0: (along, across), 90: (-across, along), -90: (across, -along)}[angle]
+        out.append({"text": text, "x": left + w / 2 + dx, "y": top + h / 2 + dy, "size": size, "angle": angle})
+    return out
+
+
 def pixels_of(row: dict) -> np.ndarray:
     """Red, green and blue of a row of the image source."""
     channels = row["nChannels"]

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from segloom.functions import boxes
 from segloom.operators.ordered import out_batches, rows_of
@@ -32,7 +33,8 @@ def called(requests: DataFrame, name: str, factory: Callable[[], Callable[[dict]
     The provider takes a request and gives content, prompt_tokens, completion_tokens and eval_ms.
     """
     ship(requests.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("group_no", pa.int32()), ("stage", pa.string()), ("content", pa.string()), ("prompt_tokens", pa.int64()), ("completion_tokens", pa.int64()), ("eval_ms", pa.float64()), ("error", pa.string())])
+    kinds = {f.name: f.dataType for f in requests.schema}  # documents go by numbers or by paths
+    schema = pa.schema([("doc_id", to_arrow_type(kinds["doc_id"])), ("group_no", pa.int32()), ("stage", pa.string()), ("content", pa.string()), ("prompt_tokens", pa.int64()), ("completion_tokens", pa.int64()), ("eval_ms", pa.float64()), ("error", pa.string())])
 
     def one(row: dict, provider: Callable[[dict], dict]) -> dict:
         own = {k: row[k] for k in ("doc_id", "group_no", "stage")}
@@ -46,7 +48,7 @@ def called(requests: DataFrame, name: str, factory: Callable[[], Callable[[dict]
         yield from out_batches((one(row, provider) for row in rows_of(batches)), schema)
 
     asked = requests.select("doc_id", "group_no", "stage", "system", "user")
-    return asked.mapInArrow(run, "doc_id long, group_no int, stage string, content string, prompt_tokens long, completion_tokens long, eval_ms double, error string")
+    return asked.mapInArrow(run, f"doc_id {kinds['doc_id'].simpleString()}, group_no int, stage string, content string, prompt_tokens long, completion_tokens long, eval_ms double, error string")
 
 
 def echo_factory(target: str) -> Callable[[], Callable[[dict], dict]]:

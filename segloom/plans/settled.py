@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from segloom.shared import shared_dir
 
-def settled(df: DataFrame) -> DataFrame:
-    """df by way of a checkpoint in the folder of spark.checkpoint.dir; a temporary one only where that is unset."""
-    import tempfile
 
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="segloom-"))
+def settled(df: DataFrame) -> DataFrame:
+    """df by way of a checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

@@ -11,7 +11,7 @@ import io
 import posixpath
 import re
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from xml.dom import minidom
 
@@ -37,6 +37,7 @@ FAMILY, SIZE, SIZE_BY_ROLE = "Calibri", 18.0, {"title": 44.0, "body": 18.0}
 WRAP_SAFETY, ENDLESS, SNUG_HEIGHT = 0.96, 1e6, 1.2
 ROLE_ALIAS = {"ctrTitle": "title", "subTitle": "body"}
 RASTER = ("png", "jpg", "jpeg")
+UNREADABLE, VECTOR = "media part unreadable", "vector metafile image"
 
 SEGMENT = (
     "path string, pos int, id string, text string, box_w double, box_h double, family string, size_pt double, bold boolean, italic boolean, "
@@ -85,6 +86,8 @@ class Archive:
                 self.parts = {i.filename: z.read(i) for i in self.infos if not i.is_dir()}
         except zipfile.BadZipFile as e:
             raise ValueError("not a slide deck: the file is no zip archive") from e
+        except Exception as e:  # parts that don't unpack
+            raise ValueError(f"not a slide deck: {e}") from e
         self.documents: dict[str, minidom.Document] = {}
         self.changed: set[str] = set()
 
@@ -536,23 +539,35 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.pptx").load(path).select("path", "content")
 
 
+def _tried(work: Callable[[], object]) -> tuple[object, str | None]:
+    """What work gives, or what it raises as a text: a broken deck is a row, not a failed job."""
+    try:
+        return work(), None
+    except Exception as e:
+        return None, str(e) or type(e).__name__
+
+
 def segments(decks: DataFrame) -> DataFrame:
-    """decks (path, content) as segments."""
+    """decks (path, content) as segments; of one that can't be read there is a row in skipped only."""
     ship(decks.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from out_batches((row for d in rows_of(batches) for row in rows(d["path"], d["content"])), _ARROW)
+        yield from out_batches((row for d in rows_of(batches) for row in _tried(lambda d=d: rows(d["path"], d["content"]))[0] or []), _ARROW)
 
     return decks.select("path", "content").mapInArrow(run, SEGMENT)
 
 
 def skipped(decks: DataFrame) -> DataFrame:
-    """path, id and reason of what the decks have that isn't read."""
+    """path, id and reason of what the decks have that isn't read; a deck that can't be read at all has its path as id."""
     ship(decks.sparkSession)
     schema = pa.schema([("path", pa.string()), ("id", pa.string()), ("reason", pa.string())])
 
+    def of(d: dict) -> list[tuple[str, str]]:
+        found, error = _tried(lambda: Scan(Archive(d["content"])).run().skips)
+        return [(d["path"], f"unreadable deck: {error}")] if error else found
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from out_batches(({"path": d["path"], "id": i, "reason": r} for d in rows_of(batches) for i, r in Scan(Archive(d["content"])).run().skips), schema)
+        yield from out_batches(({"path": d["path"], "id": i, "reason": r} for d in rows_of(batches) for i, r in of(d)), schema)
 
     return decks.select("path", "content").mapInArrow(run, "path string, id string, reason string")
 
@@ -563,14 +578,14 @@ def media(decks: DataFrame) -> DataFrame:
     schema = pa.schema([("path", pa.string()), ("media_path", pa.string()), ("slide_no", pa.int32()), ("pos", pa.int32()), ("content", pa.binary()), ("reason", pa.string())])
 
     def uses(d: dict) -> Iterator[dict]:
-        scan, seen = Scan(Archive(d["content"])).run(), set()
-        for k, (part, _, n) in enumerate(scan.media):
+        scan, seen = _tried(lambda: Scan(Archive(d["content"])).run())[0], set()
+        for k, (part, _, n) in enumerate(scan.media if scan else []):
             if part in seen:
                 continue
             seen.add(part)
             raster = part.rsplit(".", 1)[-1].lower() in RASTER
             data = scan.archive.parts.get(part)
-            reason = None if raster and data is not None else "media part unreadable" if raster else "vector metafile image"
+            reason = None if raster and data is not None else UNREADABLE if raster else VECTOR
             yield {"path": d["path"], "media_path": part, "slide_no": n, "pos": k, "content": data if raster else None, "reason": reason}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -579,13 +594,26 @@ def media(decks: DataFrame) -> DataFrame:
     return decks.select("path", "content").mapInArrow(run, "path string, media_path string, slide_no int, pos int, content binary, reason string")
 
 
-def written(decks: DataFrame, translations: DataFrame) -> DataFrame:
-    """decks with content changed by translations (path, id, translation, fitted_size_pt); a deck's rows are bounded by the deck."""
+def written(decks: DataFrame, translations: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """path, content and error: decks changed by translations (path, id, translation, fitted_size_pt) and images (path, part, content).
+
+    A deck's rows are bounded by the deck. One that can't be written has no content but an error.
+    """
     ship(decks.sparkSession)
     own = translations.groupBy("path").agg(F.collect_list(F.struct("id", "translation", "fitted_size_pt")).alias("rows"))
-    schema = pa.schema([("path", pa.string()), ("content", pa.binary())])
+    all_ = decks.select("path", "content").join(own, "path", "left")
+    if images is not None:
+        all_ = all_.join(images.groupBy("path").agg(F.collect_list(F.struct("part", "content")).alias("images")), "path", "left")
+    schema = pa.schema([("path", pa.string()), ("content", pa.binary()), ("error", pa.string())])
+
+    def of(d: dict) -> dict:
+        texts, parts = {r["id"]: r for r in d["rows"] or []}, {r["part"]: r["content"] for r in d.get("images") or []}
+        content, error = _tried(lambda: write(d["content"], texts, parts))
+        return {"path": d["path"], "content": content, "error": error}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from out_batches(({"path": d["path"], "content": write(d["content"], {r["id"]: r for r in d["rows"] or []})} for d in rows_of(batches)), schema)
+        for batch in batches:
+            for d in rows_of([batch]):  # a deck at a time, as they may be large
+                yield from out_batches([of(d)], schema)
 
-    return decks.join(own, "path", "left").mapInArrow(run, "path string, content binary")
+    return all_.mapInArrow(run, "path string, content binary, error string")

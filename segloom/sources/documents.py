@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,15 +48,21 @@ def images(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_files(rows: DataFrame, folder: str) -> None:
-    """Write name and content (text or binary) as files of a shared folder, each whole or not at all."""
+    """Write name and content (text or binary) as files of a shared folder, each whole or not at all.
+
+    folder is a path or a URI of any file system that all executors reach. A task that runs again writes the same files.
+    """
+    folder = folder.replace("s3a://", "s3://") if "://" in folder or folder.startswith("file:") else os.path.abspath(folder)
 
     def save(part) -> None:
+        system, root = FileSystem.from_uri(folder)
         for row in part:
             data = row["content"].encode() if isinstance(row["content"], str) else bytes(row["content"])
-            held = os.path.join(folder, f".{uuid.uuid4().hex}")
-            with open(held, "wb") as f:
+            held, name = f"{root}/.{uuid.uuid4().hex}", f"{root}/{row['name']}"
+            with system.open_output_stream(held) as f:
                 f.write(data)
-            os.replace(held, os.path.join(folder, row["name"]))
+            system.move(held, name)
 
-    os.makedirs(folder, exist_ok=True)
+    system, root = FileSystem.from_uri(folder)
+    system.create_dir(root)
     rows.select("name", "content").foreachPartition(save)
