@@ -17,9 +17,11 @@ from segloom.operators import regions as G
 from segloom.operators import report
 from segloom.operators import segments as S
 from segloom.operators.providers import echo_factory
+from segloom.plans import decks
 from segloom.plans.inputs import REGIONS, SEGMENTS_SQL, SOURCE, TARGET, lines, read, regions
 from segloom.plans.settled import settled
 from segloom.plans.translate import translate
+from segloom.sources import decks as Z
 from segloom.sources import documents as D
 from segloom.sources import vision
 
@@ -266,21 +268,31 @@ def smartart_sync(spark, sf_dir):
     return X.synced_cache(rows.withColumn("drawing", (F.col("pos") + 1) % 3), given).select("id", "text", "translation")
 
 
-@query("""with ph as (select c_custkey, case c_custkey % 4 when 0 then 'ctrTitle' when 1 then 'subTitle' when 2 then 'body' else 'dt' end as kind, c_nationkey as idx, case when c_custkey % 3 = 0 then c_custkey end as own from customer),
-n as (select *, case kind when 'ctrTitle' then 'title' when 'subTitle' then 'body' else kind end as role from ph),
-layout as (select n_nationkey as idx, case n_nationkey % 3 when 0 then 'title' when 1 then 'body' else 'pic' end as role, 1000 + n_nationkey as size from nation where n_nationkey % 2 = 0),
-master_ as (select n_nationkey as idx, case n_nationkey % 2 when 0 then 'title' else 'body' end as role, 5000 + n_nationkey as size from nation)
-select c_custkey, role, coalesce(own, l.size, m.size) as size from n left join layout l using (idx, role) left join master_ m using (idx, role)""")
+@query(decks.INHERIT_SQL)
 def placeholder_inherit(spark, sf_dir):
-    """A placeholder's size is its own, else its layout's, else its master's, for the same role and index."""
-    kind = F.element_at(F.array(*[F.lit(k) for k in ("ctrTitle", "subTitle", "body", "dt")]), (F.col("c_custkey") % 4 + 1).cast("int"))
-    role = F.when(kind == "ctrTitle", "title").when(kind == "subTitle", "body").otherwise(kind)
-    own = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("idx"), role.alias("role"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey")).alias("own"))
-    nation, k = read(spark, sf_dir, "nation"), F.col("n_nationkey")
-    layout = nation.where(k % 2 == 0).select(k.alias("idx"), F.when(k % 3 == 0, "title").when(k % 3 == 1, "body").otherwise("pic").alias("role"), (k + 1000).alias("in_layout"))
-    master = nation.select(k.alias("idx"), F.when(k % 2 == 0, "title").otherwise("body").alias("role"), (k + 5000).alias("in_master"))
-    both = own.join(layout, ["idx", "role"], "left").join(master, ["idx", "role"], "left")
-    return both.select("c_custkey", "role", F.coalesce("own", F.col("in_layout").cast("long"), F.col("in_master").cast("long")).alias("size"))
+    """A placeholder's box is its own, else its layout's, else its master's, for the same role and index."""
+    role = F.when(F.col("context") == "slide title", "title").when(F.col("context") == "body", "body").otherwise("dt")
+    return decks.texts(spark, sf_dir).where("startswith(id, 'slide2/shape[name=P_')").select("path", role.alias("role"), "box_w")
+
+
+@query(decks.SEGMENTS_SQL)
+def deck_segments(spark, sf_dir):
+    return decks.texts(spark, sf_dir)
+
+
+@query(decks.SKIPS_SQL)
+def deck_skips(spark, sf_dir):
+    return Z.skipped(decks.customer_decks(spark, sf_dir))
+
+
+@query(decks.MEDIA_SQL)
+def deck_media(spark, sf_dir):
+    return Z.media(decks.customer_decks(spark, sf_dir)).select("path", "media_path", "slide_no", F.length("content").alias("bytes"), "reason")
+
+
+@query(decks.WRITTEN_SQL)
+def deck_written(spark, sf_dir):
+    return decks.written(spark, sf_dir)
 
 
 # Regions
