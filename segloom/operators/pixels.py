@@ -15,6 +15,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from segloom.functions.text import split_at_space, stripped
@@ -86,21 +87,60 @@ def ink_spans(counts: np.ndarray, height: int, erased: np.ndarray) -> list[tuple
     return [*out, (start, last)]
 
 
-def row_band(light: np.ndarray, ground: float) -> tuple[int, int] | None:
-    """The rows with ink, over gaps of two rows; of several bands the one with most of the ink, if any has."""
-    counts, through = profile(light.T, ground)
-    counts = np.where(gridlines(counts, through, light.shape[1]), 0, counts)
+def row_bands(counts: np.ndarray, width: int) -> list[tuple[int, int, int]]:
+    """Stretches of rows with ink, over gaps of two rows, with their ink."""
     bands: list[list[int]] = []
-    for lo, hi in runs(counts > max(1, _rounded(light.shape[1] * ROW_EMPTY))):
+    for lo, hi in runs(counts > max(1, _rounded(width * ROW_EMPTY))):
         if bands and lo - bands[-1][1] <= BAND_GAP:
             bands[-1][1] = hi
         else:
             bands.append([lo, hi])
+    return [(lo, hi, int(counts[lo:hi].sum())) for lo, hi in bands]
+
+
+def dominant(bands: list[tuple[int, int, int]]) -> int | None:
+    """The number of the only band, or of the one with most of the ink, if any has."""
     if len(bands) <= 1:
-        return tuple(bands[0]) if bands else None
-    ink = [int(counts[lo:hi].sum()) for lo, hi in bands]
+        return 0 if bands else None
+    ink = [b[2] for b in bands]
     most = int(np.argmax(ink))
-    return tuple(bands[most]) if ink[most] >= sum(ink) * BAND_SHARE else None
+    return most if ink[most] >= sum(ink) * BAND_SHARE else None
+
+
+def row_band(light: np.ndarray, ground: float) -> tuple[int, int] | None:
+    """The rows with ink that count as the text's."""
+    counts, through = profile(light.T, ground)
+    bands = row_bands(np.where(gridlines(counts, through, light.shape[1]), 0, counts), light.shape[1])
+    found = dominant(bands)
+    return bands[found][:2] if found is not None else None
+
+
+def of_profiles(profiles: DataFrame, size: int, kind: str) -> DataFrame:
+    """profiles (image, counts, flags: an entry for each column or row) as the gridlines, spans or bands in them.
+
+    size is the height that columns have, or the width of rows. flags are columns that go from top to bottom (gridlines)
+    or were erased (spans). A profile is as long as its picture.
+    """
+    ship(profiles.sparkSession)
+    schema = pa.schema([("image", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("ink", pa.int64()), ("dominant", pa.bool_())])
+
+    def of(row: dict) -> Iterator[dict]:
+        counts, flags = np.array(row["counts"], np.int64), np.array(row["flags"], bool)
+        if kind == "gridlines":
+            found = [(*r, None) for r in runs(gridlines(counts, flags, size))]
+        elif kind == "spans":
+            found = [(*r, None) for r in ink_spans(counts, size, flags)]
+        else:
+            bands = row_bands(counts, size)
+            best = dominant(bands)
+            found = [(lo, hi, k == best) for k, (lo, hi, _) in enumerate(bands)]
+        for lo, hi, best in found:
+            yield {"image": row["image"], "lo": lo, "hi": hi, "ink": int(counts[lo:hi].sum()), "dominant": best}
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from out_batches((out for row in rows_of(batches) for out in of(row)), schema)
+
+    return profiles.select(F.col("image").cast("long").alias("image"), "counts", "flags").mapInArrow(run, "image long, lo int, hi int, ink long, dominant boolean")
 
 
 def _inside(b: dict, light: np.ndarray) -> tuple[int, int, int, int]:

@@ -11,7 +11,7 @@ from segloom.functions import boxes as B
 from segloom.functions import text as T
 from segloom.operators import evaluate as E
 from segloom.operators import exchange as X
-from segloom.operators import imagetext
+from segloom.operators import imagetext, pixels
 from segloom.operators import layout as L
 from segloom.operators import regions as G
 from segloom.operators import report
@@ -512,42 +512,43 @@ def column_profile(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("image"), (F.row_number().over(order) - 1).alias("col"), ((F.col("l_partkey") * 13 + F.col("l_linenumber")) % 7).alias("ink"))
 
 
-def stretches(profile: DataFrame, flag) -> DataFrame:
-    """Stretches of columns for which flag holds, as image, lo and hi."""
-    order = Window.partitionBy("image").orderBy("col")
-    kept = profile.withColumn("flag", flag).where("flag")
-    numbered = kept.withColumn("island", F.col("col") - F.row_number().over(order))
-    return numbered.groupBy("image", "island").agg(F.min("col").alias("lo"), (F.max("col") + 1).alias("hi"), F.sum("ink").alias("ink")).drop("island")
+def profiles(columns: DataFrame, counts, flags) -> DataFrame:
+    """Columns of each image in order, as arrays."""
+    one = F.struct("col", counts.cast("int").alias("n"), flags.alias("f"))
+    listed = columns.groupBy("image").agg(F.array_sort(F.collect_list(one)).alias("own"))
+    return listed.select("image", F.col("own.n").alias("counts"), F.col("own.f").alias("flags"))
 
 
-@query(f"with {PROFILE_SQL}, i as (select *, col - row_number() over (partition by image order by col) as island from c where ink >= 5) select image, cast(min(col) as integer) as lo, cast(max(col) + 1 as integer) as hi, cast(sum(ink) as bigint) as ink from i group by image, island having count(*) <= 4")
+@query(f"""with {PROFILE_SQL}, i as (select *, col - row_number() over (partition by image order by col) as island from c where ink >= 4 and (image + col) % 11 > 0)
+select image, cast(min(col) as integer) as lo, cast(max(col) + 1 as integer) as hi, cast(sum(ink) as bigint) as ink from i group by image, island having count(*) <= 4""")
 def gridline_islands(spark, sf_dir):
-    return stretches(column_profile(spark, sf_dir), F.col("ink") >= 5).where("hi - lo <= 4")
+    """Narrow stretches of columns that are nearly full and go from top to bottom, of images of 4 pixels' height."""
+    through = (F.col("image") + F.col("col")) % 11 > 0
+    return pixels.of_profiles(profiles(column_profile(spark, sf_dir), F.col("ink"), through), 4, "gridlines").select("image", "lo", "hi", "ink")
 
 
 BANDS_SQL = f"""with {PROFILE_SQL}, g as (select *, case when col - lag(col) over w <= 3 then 0 else 1 end as starts from c where ink > 4 window w as (partition by image order by col)),
-b as (select *, sum(starts) over (partition by image order by col) as band from g), r as (select image, band, min(col) as lo, max(col) + 1 as hi, sum(ink) as ink from b group by all)"""
+b as (select *, sum(starts) over (partition by image order by col) as band from g), r as (select image, band, min(col) as lo, max(col) + 1 as hi from b group by all),
+s as (select r.image, lo, hi, sum(ink) as ink from r join c on c.image = r.image and col >= lo and col < hi group by all)"""
 
 
-@query(f"{BANDS_SQL} select image, cast(lo as integer) as lo, cast(hi as integer) as hi, cast(ink as bigint) as ink, ink * 10 >= sum(ink) over (partition by image) * 7 as dominant from r")
+@query(f"{BANDS_SQL} select image, cast(lo as integer) as lo, cast(hi as integer) as hi, cast(ink as bigint) as ink, ink * 10 >= sum(ink) over (partition by image) * 7 as dominant from s")
 def row_bands(spark, sf_dir):
-    """Stretches of ink over gaps of up to two, and whether one has most of the ink."""
-    order = Window.partitionBy("image").orderBy("col")
-    starts = F.when(F.col("col") - F.lag("col").over(order) <= 3, 0).otherwise(1)
-    banded = column_profile(spark, sf_dir).where("ink > 4").withColumn("starts", starts).withColumn("band", F.sum("starts").over(order))
-    bands = banded.groupBy("image", "band").agg(F.min("col").alias("lo"), (F.max("col") + 1).alias("hi"), F.sum("ink").alias("ink"))
-    return bands.withColumn("dominant", F.col("ink") * 10 >= F.sum("ink").over(Window.partitionBy("image")) * 7).drop("band")
+    """Stretches of ink over gaps of up to two, and whether one has most of the ink, of images 400 pixels wide."""
+    return pixels.of_profiles(profiles(column_profile(spark, sf_dir), F.col("ink"), F.lit(False)), 400, "bands")
 
 
-@query(f"""with {PROFILE_SQL}, g as (select *, case when col - lag(col) over w - 1 >= 3 or lag(col) over w is null then 1 else 0 end as starts from c where ink > 2 window w as (partition by image order by col)),
+VALLEY = "col % 40 < 4 + image % 13"
+
+
+@query(f"""with {PROFILE_SQL}, z as (select image, col, case when {VALLEY} then 0 else ink end as ink, sum(case when col % 40 = 2 and col % 80 < 40 then 1 else 0 end) over (partition by image order by col) as erased from c),
+g as (select *, case when lag(col) over w is null or col - lag(col) over w - 1 >= case when erased > lag(erased) over w then 6 else 14 end then 1 else 0 end as starts from z where ink > 1 window w as (partition by image order by col)),
 b as (select *, sum(starts) over (partition by image order by col) as span from g) select image, cast(min(col) as integer) as lo, cast(max(col) + 1 as integer) as hi from b group by image, span""")
 def ink_spans(spark, sf_dir):
-    """Stretches of ink parted by valleys of at least three columns."""
-    order = Window.partitionBy("image").orderBy("col")
-    before = F.lag("col").over(order)
-    starts = F.when(before.isNull() | (F.col("col") - before - 1 >= 3), 1).otherwise(0)
-    spans = column_profile(spark, sf_dir).where("ink > 2").withColumn("starts", starts).withColumn("span", F.sum("starts").over(order))
-    return spans.groupBy("image", "span").agg(F.min("col").alias("lo"), (F.max("col") + 1).alias("hi")).drop("span")
+    """Stretches of ink parted by valleys of 14 columns, or of 6 where a line was erased, of images of 7 pixels' height."""
+    ink = F.when(F.expr(VALLEY), 0).otherwise(F.col("ink"))
+    erased = (F.col("col") % 40 == 2) & (F.col("col") % 80 < 40)
+    return pixels.of_profiles(profiles(column_profile(spark, sf_dir), ink, erased), 7, "spans").select("image", "lo", "hi")
 
 
 @query(f"with {PROFILE_SQL}, n as (select image, ink, row_number() over (partition by image order by ink, col) as k, count(*) over (partition by image) as n from c) select image, max(ink) filter (k = n // 2 + 1) as upper_median, median(ink) as middle from n group by image")
