@@ -14,11 +14,9 @@ from pyspark.sql import functions as F
 
 from segloom.functions import text as T
 
-# The answer's schema, the stages, the failure reasons and the wording of the prompts.
+# The answer's schema, the stages and the wording of the prompts.
 ANSWER = "translations array<struct<id: string, translation: string>>"
 STAGES = ("initial", "retry", "fallback")
-REASONS = ("parse", "id-mismatch", "empty", "echo", "error")
-COUNTERS = ("promptTokens", "completionTokens", "modelDurationMs", "evalDurationMs", "calls", "retries", "perSegmentFallbacks")
 SYSTEM = (
     "You are a professional translator for internal business documents.\n"
     "Translate each segment from {source} to {target}.\n"
@@ -134,15 +132,17 @@ def ladder(segments: DataFrame, answer: Callable[[DataFrame, int], DataFrame], s
 
 
 def usage_totals(calls: DataFrame, *by: str) -> DataFrame:
-    """Sums of the counters; a failed call (content null) adds nothing but its retry or fallback.
+    """Sums of the counters, and the number of groups (first calls); a failed call (content null) adds nothing but its retry or fallback.
 
-    calls: by, stage, content, and the counters of each call in milliseconds and tokens.
+    calls: by, stage, content, and the counters of each call in milliseconds and tokens; model_ms (with loading) may be left out.
     """
+    if "model_ms" not in calls.columns:
+        calls = calls.withColumn("model_ms", F.col("eval_ms"))
     came = F.col("content").isNotNull()
     add = lambda c: F.coalesce(F.sum(F.when(came, F.coalesce(c, F.lit(0)))), F.lit(0))
     return calls.groupBy(*by).agg(
-        F.count_if(came).alias("calls"), F.count_if(F.col("stage") == "retry").alias("retries"), F.count_if(F.col("stage") == "fallback").alias("per_segment_fallbacks"),
-        add("prompt_tokens").alias("prompt_tokens"), add("completion_tokens").alias("completion_tokens"), add("eval_ms").alias("eval_ms"),
+        F.count_if(F.col("stage") == "initial").alias("groups"), F.count_if(came).alias("calls"), F.count_if(F.col("stage") == "retry").alias("retries"), F.count_if(F.col("stage") == "fallback").alias("per_segment_fallbacks"),
+        add("prompt_tokens").alias("prompt_tokens"), add("completion_tokens").alias("completion_tokens"), add("model_ms").alias("model_ms"), add("eval_ms").alias("eval_ms"),
     )
 
 

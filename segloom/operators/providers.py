@@ -30,11 +30,11 @@ def _once(name: str, factory: Callable[[], Callable]) -> Callable:
 def called(requests: DataFrame, name: str, factory: Callable[[], Callable[[dict], dict]]) -> DataFrame:
     """requests (doc_id, group_no, stage, system, user) with content, the counters of the call, and error.
 
-    The provider takes a request and gives content, prompt_tokens, completion_tokens and eval_ms.
+    The provider takes a request and gives content, prompt_tokens, completion_tokens, model_ms and eval_ms.
     """
     ship(requests.sparkSession)
     kinds = {f.name: f.dataType for f in requests.schema}  # documents go by numbers or by paths
-    schema = pa.schema([("doc_id", to_arrow_type(kinds["doc_id"])), ("group_no", pa.int32()), ("stage", pa.string()), ("content", pa.string()), ("prompt_tokens", pa.int64()), ("completion_tokens", pa.int64()), ("eval_ms", pa.float64()), ("error", pa.string())])
+    schema = pa.schema([("doc_id", to_arrow_type(kinds["doc_id"])), ("group_no", pa.int32()), ("stage", pa.string()), ("content", pa.string()), ("prompt_tokens", pa.int64()), ("completion_tokens", pa.int64()), ("model_ms", pa.float64()), ("eval_ms", pa.float64()), ("error", pa.string())])
 
     def one(row: dict, provider: Callable[[dict], dict]) -> dict:
         own = {k: row[k] for k in ("doc_id", "group_no", "stage")}
@@ -48,7 +48,7 @@ def called(requests: DataFrame, name: str, factory: Callable[[], Callable[[dict]
         yield from out_batches((one(row, provider) for row in rows_of(batches)), schema)
 
     asked = requests.select("doc_id", "group_no", "stage", "system", "user")
-    return asked.mapInArrow(run, f"doc_id {kinds['doc_id'].simpleString()}, group_no int, stage string, content string, prompt_tokens long, completion_tokens long, eval_ms double, error string")
+    return asked.mapInArrow(run, f"doc_id {kinds['doc_id'].simpleString()}, group_no int, stage string, content string, prompt_tokens long, completion_tokens long, model_ms double, eval_ms double, error string")
 
 
 def echo_factory(target: str) -> Callable[[], Callable[[dict], dict]]:
@@ -58,7 +58,7 @@ def echo_factory(target: str) -> Callable[[], Callable[[dict], dict]]:
         def answer(row: dict) -> dict:
             asked = json.loads(row["user"])
             content = json.dumps({"translations": [{"id": s["id"], "translation": f"[{target}] {s['text']}"} for s in asked]}, ensure_ascii=False)
-            return {"content": content, "prompt_tokens": len(row["user"]) // 4, "completion_tokens": len(content) // 4, "eval_ms": float(len(content))}
+            return {"content": content, "prompt_tokens": len(row["user"]) // 4, "completion_tokens": len(content) // 4, "model_ms": float(len(content) + 1), "eval_ms": float(len(content))}
 
         return answer
 

@@ -214,13 +214,13 @@ def ladder_resolution(spark, sf_dir):
 
 
 @query("""with c as (select user_id % 50 as run, case event_id % 6 when 0 then 'retry' when 1 then 'fallback' else 'initial' end as stage, event_id % 9 <> 0 as came, user_id % 97 as p, event_id % 53 as q, cast(event_id % 1000 as double) as ms from events)
-select run, count(*) filter (came) as calls, count(*) filter (stage = 'retry') as retries, count(*) filter (stage = 'fallback') as per_segment_fallbacks, cast(coalesce(sum(p) filter (came), 0) as bigint) as prompt_tokens,
-  cast(coalesce(sum(q) filter (came), 0) as bigint) as completion_tokens, coalesce(sum(ms) filter (came), 0.0) as eval_ms, round(case when coalesce(sum(ms) filter (came), 0) > 0 then coalesce(sum(q) filter (came), 0) / (sum(ms) filter (came) / 1000) else 0.0 end, 6) as tokens_per_sec from c group by run""")
+select run, count(*) filter (stage = 'initial') as groups, count(*) filter (came) as calls, count(*) filter (stage = 'retry') as retries, count(*) filter (stage = 'fallback') as per_segment_fallbacks, cast(coalesce(sum(p) filter (came), 0) as bigint) as prompt_tokens,
+  cast(coalesce(sum(q) filter (came), 0) as bigint) as completion_tokens, coalesce(sum(ms) filter (came), 0.0) as eval_ms, coalesce(sum(ms + 5) filter (came), 0.0) as model_ms, round(case when coalesce(sum(ms) filter (came), 0) > 0 then coalesce(sum(q) filter (came), 0) / (sum(ms) filter (came) / 1000) else 0.0 end, 6) as tokens_per_sec from c group by run""")
 def ladder_usage(spark, sf_dir):
     e = F.col("event_id")
     calls = read(spark, sf_dir, "events").select(
         (F.col("user_id") % 50).alias("run"), F.when(e % 6 == 0, "retry").when(e % 6 == 1, "fallback").otherwise("initial").alias("stage"), F.when(e % 9 != 0, F.lit("{}")).alias("content"),
-        (F.col("user_id") % 97).alias("prompt_tokens"), (e % 53).alias("completion_tokens"), (e % 1000).cast("double").alias("eval_ms"),
+        (F.col("user_id") % 97).alias("prompt_tokens"), (e % 53).alias("completion_tokens"), (e % 1000).cast("double").alias("eval_ms"), (e % 1000 + 5).cast("double").alias("model_ms"),
     )
     return X.usage_totals(calls, "run").withColumn("tokens_per_sec", F.round(X.rate(F.col("completion_tokens"), F.col("eval_ms") / 1000.0), 6))
 
