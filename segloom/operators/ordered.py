@@ -37,6 +37,18 @@ def dealt(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys, *order)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df evenly over all cores where it is so small that its files' own parts may be fewer than those.
+
+    Beyond the size of one part for each core, the scan gives parts enough, and nothing is shuffled.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    part = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * part else df
+
+
 def through(df: DataFrame, keys: list[str], order: list[str], step: Callable[[Iterator[dict]], Iterable[dict]], schema: str | StructType) -> DataFrame:
     """Apply step to the rows of each group in order; step may yield while it reads, so groups need not fit in memory."""
     ship(df.sparkSession)

@@ -5,14 +5,15 @@ A segment has doc_id, pos (order within the document), id, text, context and gro
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructType
 
 from segloom.functions import text as T
-from segloom.operators.ordered import through
+from segloom.operators.ordered import dealt, through
 
 #: Characters (UTF-16 units) of a group beyond which a new one begins.
 BUDGET = 2000
@@ -42,23 +43,31 @@ def islands(segments: DataFrame) -> DataFrame:
     return kept.withColumn("changed", first).withColumn("island", F.sum("changed").over(order).cast("int")).drop("changed")
 
 
-def packed(segments: DataFrame, budget: int = BUDGET) -> DataFrame:
+def packed(segments: DataFrame, budget: int = BUDGET, keep: tuple[str, ...] | None = None) -> DataFrame:
     """segments with letters and their group_no (from 0) in their document, in one pass in order.
 
     A group ends where the grouping key changes or the next text would exceed the budget; a text beyond the budget is
-    a group of its own.
+    a group of its own. keep names the columns to take along beside doc_id, pos, key and units (None: all), so that
+    texts that nobody reads aren't shuffled.
     """
     kept = segments.where(T.has_letters(F.col("text"))).withColumn("key", grouping_key()).withColumn("units", T.utf16_length(F.col("text")))
-
-    def step(rows: Iterator[dict]) -> Iterator[dict]:
-        number, key, held = -1, None, 0
-        for row in rows:
-            if number < 0 or row["key"] != key or held + row["units"] > budget:
-                number, key, held = number + 1, row["key"], 0
-            held += row["units"]
-            yield row | {"group_no": number}
-
-    return through(kept, ["doc_id"], ["pos"], step, StructType(list(kept.schema)).add("group_no", IntegerType()))
+    if keep is not None:
+        kept = kept.select(*dict.fromkeys(["doc_id", "pos", *keep, "key", "units"]))
+
+    def number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, key, held, group = object(), None, 0, -1
+        for batch in batches:
+            out = []
+            for own_doc, own_key, units in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "units")), strict=True):
+                if own_doc != doc:
+                    doc, key, held, group = own_doc, own_key, 0, 0
+                elif own_key != key or held + units > budget:
+                    key, held, group = own_key, 0, group + 1
+                held += units
+                out.append(group)
+            yield batch.append_column("group_no", pa.array(out, pa.int32()))
+
+    return dealt(kept, ["doc_id"], ["pos"]).mapInArrow(number, StructType(list(kept.schema)).add("group_no", IntegerType()))
 
 
 def group_contexts(grouped: DataFrame) -> DataFrame:

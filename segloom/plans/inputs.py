@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from segloom.operators import segments
+from segloom.operators.ordered import spread
 
 SOURCE, TARGET = "English", "German"
 
@@ -28,7 +29,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments.from_lines(read(spark, sf_dir, "documents"))
+    return segments.from_lines(spread(read(spark, sf_dir, "documents").select("doc_id", "source", "text")))
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ from segloom.operators import layout as L
 from segloom.operators import regions as G
 from segloom.operators import report
 from segloom.operators import segments as S
+from segloom.operators.ordered import spread
 from segloom.operators.providers import echo_factory
 from segloom.plans import decks
 from segloom.plans.inputs import REGIONS, SEGMENTS_SQL, SOURCE, TARGET, lines, read, regions
@@ -60,7 +61,7 @@ def gate_sql(c: str) -> str:
 
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql = VARIANTS.replace("chr(12288)", "'　'").replace("chr(160)", "' '").replace("'　'", "decode(unhex('E38080'), 'UTF-8')").replace("' '", "decode(unhex('C2A0'), 'UTF-8')")
-    return read(spark, sf_dir, "documents").selectExpr("doc_id", "source", f"{sql} as text")
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "source", "text")).selectExpr("doc_id", "source", f"{sql} as text")
 
 
 # Scans, identity and filters
@@ -130,12 +131,12 @@ packed as (select doc_id, k, units, units as held, 0 as group_no from kept where
 
 @query(f"{PACKED_SQL} select id, p.group_no, p.units from packed p join kept using (doc_id, k)")
 def pack_groups_2000(spark, sf_dir):
-    return S.packed(lines(spark, sf_dir)).select("id", "group_no", "units")
+    return S.packed(lines(spark, sf_dir), keep=("id",)).select("id", "group_no", "units")
 
 
 @query(f"{PACKED_SQL} select doc_id, group_no, any_value(group_key) || ': ' || string_agg(distinct context, ', ' order by context) as group_context, count(*) as segments, cast(sum(p.units) as bigint) as units from packed p join kept using (doc_id, k) group by doc_id, group_no")
 def group_context(spark, sf_dir):
-    return S.group_contexts(S.packed(lines(spark, sf_dir)))
+    return S.group_contexts(S.packed(lines(spark, sf_dir), keep=("context", "group_key")))
 
 
 SYSTEM_SQL = "'" + X.SYSTEM.replace("'", "''").replace("{source}", SOURCE).replace("{target}", TARGET).replace("{glossary}", "(none)").replace("{context}", "' || source || '") + "'"
