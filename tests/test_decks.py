@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import io
+import os
 import zipfile
 from xml.dom import minidom
 
@@ -95,3 +96,29 @@ def test_through_spark(spark, tmp_path):
     out = D.written(files, rows.selectExpr("path", "id", "concat('[x] ', text) as translation", "size_pt as fitted_size_pt"))
     again = D.segments(out)
     assert again.where("not startswith(text, '[x] ')").count() == 0 and again.count() == 13
+
+
+def test_reading_alone_gives_what_the_dom_gives():
+    found = [D.Scan(D.Archive(DECK, editable)).run() for editable in (True, False)]
+    assert found[0].skips == found[1].skips and found[0].media == found[1].media
+    plain = lambda s: (s.id, s.text, s.box, s.font, s.context, s.kind, s.part_path, s.drawing_path, s.snug)
+    assert [plain(s) for s in found[0].sites] == [plain(s) for s in found[1].sites]
+    text = b'<!DOCTYPE a [<!ENTITY e "x">]><a xmlns:n="u" n:k="1">&lt;&e;<![CDATA[<]]><n:b k="2"/></a>'
+    a = D.parsed(text).childNodes[0]
+    assert ("".join(c.data for c in a.childNodes[:-1]), a.getAttributeNS("u", "k"), a.getAttribute("k")) == ("<x<", "1", "")
+    assert [(c.namespaceURI, c.getAttribute("k")) for c in D.parsed(text).getElementsByTagNameNS("*", "b")] == [("u", "2")]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the tables aren't here")
+def test_decks_of_a_small_table_are_dealt_over_all_cores(spark):
+    from segloom.plans.decks import customer_decks
+
+    assert customer_decks(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_written_decks_go_on_some_at_a_time(spark):
+    decks = spark.createDataFrame([(str(k), DECK if k % 9 else b"none") for k in range(600)], "path string, content binary").coalesce(1)
+    new = spark.createDataFrame([(str(k), "slide2/notes", f"[{k}]", None) for k in range(600)], "path string, id string, translation string, fitted_size_pt double")
+    out = {r.path: r for r in D.written(decks, new).coalesce(1).collect()}
+    assert len(out) == 600 and all((r.content is None) == (int(k) % 9 == 0) == (r.error is not None) for k, r in out.items())
+    assert all(any(x["text"] == f"[{k}]" for x in D.rows("x", out[k].content)) for k in ("1", "299", "598"))
