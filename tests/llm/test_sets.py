@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from segloom.llm import fingerprint, lines, linking, neardup, simhash, words
@@ -266,3 +268,14 @@ def test_intact_blocks_find_every_neighbour():
             row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
     keys = [simhash.block_keys(x, fingerprint.BLOCKS, fingerprint.BLOCK_BITS, fingerprint.BLOCKS - fingerprint.RADIUS) for x in (base, near)]
     assert (keys[0] == keys[1]).any(axis=1).all()
+
+
+def test_signing_many_texts_takes_little_memory():
+    """A Python worker's arrays follow a piece of the texts, not the whole batch."""
+    words = np.random.default_rng(17).integers(0, 5000, (3000, 250)).astype(str)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000), pa.int64()), pa.array([" ".join(w) for w in words])], names=["doc_id", "text"])
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in neardup._signed([batch]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 3000 and most < 60e6
